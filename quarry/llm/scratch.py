@@ -7,9 +7,13 @@ a re-read and never a recomputation of what came before.
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
 LOCAL_ROOT = "file:///tmp/checkpoints"
@@ -51,7 +55,26 @@ def _forget(spark: SparkSession, root: str) -> None:
         pass
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> None:
-    """Bound the rows of an Arrow batch: long texts make large batches."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def arrow_rows(spark: SparkSession, rows: int) -> int:
+    """Set the rows of an Arrow batch, as long texts make large batches; returns what was set before."""
+    before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    return before
+
+
+def reclaim(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of stages whose results have been written."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Rows of keys that may be broadcast: a few numbers each, so some tens of megabytes.
+BROADCAST_ROWS = 500_000
+
+
+def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows of df that have a key; df is not shuffled where the keys are counted to be few. Both sides compare nulls as equal."""
+    keys = keys.select(*(F.col(c).alias(f"_{c}") for c in on)).distinct()
+    few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
+    return df.join(F.broadcast(keys) if few else keys, reduce(and_, match), "left_semi")

@@ -309,13 +309,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a token store: doc_id, start (ids before it), n_tokens, ids_crc32."""
-    arrow_rows(spark, 1)  # a row is a file
+    before = arrow_rows(spark, 1)  # a row is a file
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     rows = materialise(files.mapInArrow(_decode, "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token_rows")
+    arrow_rows(spark, before)
     sizes = rows.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("part", "piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    return rows.join(before, ["part", "piece"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    ahead = sizes.select("part", "piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    return rows.join(ahead, ["part", "piece"]).select("doc_id", (F.col("before") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:

@@ -12,7 +12,7 @@ import uuid
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no spark.checkpoint.dir, as in local tests.
@@ -73,8 +73,17 @@ BROADCAST_ROWS = 500_000
 
 
 def only(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """The rows of df that have a key; df is not shuffled where the keys are counted to be few. Both sides compare nulls as equal."""
-    keys = keys.select(*(F.col(c).alias(f"_{c}") for c in on)).distinct()
+    """The rows of df that have a key; df is not shuffled where the keys are counted to be few. Nulls equal one another."""
+    return _match(df, keys, {c: F.col(c) for c in on}, "left_semi")
+
+
+def without(df: DataFrame, keys: DataFrame, by: dict[str, Column]) -> DataFrame:
+    """The rows of df that have no key, where by says how the keys' columns follow from a row."""
+    return _match(df, materialise(keys.distinct(), "keys"), by, "left_anti")
+
+
+def _match(df: DataFrame, keys: DataFrame, by: dict[str, Column], how: str) -> DataFrame:
+    keys = keys.select(*(F.col(c).alias(f"_key_{c}") for c in by)).distinct()
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    match = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in on]
-    return df.join(F.broadcast(keys) if few else keys, reduce(and_, match), "left_semi")
+    same = [value.eqNullSafe(F.col(f"_key_{c}")) for c, value in by.items()]
+    return df.join(F.broadcast(keys) if few else keys, reduce(and_, same), how)

@@ -25,6 +25,13 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("h1", "h2")
 
 
+def op6_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_cnn import score_documents, train
+
+    docs = _table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import join_documents
 
@@ -54,6 +61,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality_cnn": op6_quality_cnn,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_token_counts": op8_token_counts,
     "op9_html_text": op9_html_text,

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .scratch import arrow_rows, materialise
-from .token_store import PieceEncoder
+from .token_store import PieceEncoder, encoder_for
 
 WIDEN = 8
 #: Characters at the end of a chunk that decide nothing, besides the longest added token: the pattern looks one ahead.
@@ -41,7 +41,7 @@ def _whole(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
         else:
-            encoder = PieceEncoder(path)
+            encoder = encoder_for(path)
         for batch in batches:
             if path.endswith(".model"):
                 count = [len(x) for x in model.encode([t or "" for t in batch.column(2).to_pylist()], num_threads=1)]

@@ -164,7 +164,7 @@ class PieceEncoder:
     space, are called on whole texts.
     """
 
-    def __init__(self, path: str, most_cached: int = 3_000_000):
+    def __init__(self, path: str, most_cached: int = 2_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -230,7 +230,7 @@ class PieceEncoder:
         order, lengths = [alone], [np.array([len(p) for p in parts], np.int64)]
         joined = np.flatnonzero(joins)
         groups = np.array_split(joined, max(1, int((ends - starts)[joined].sum()) >> 15)) if len(joined) else []
-        texts = [b"".join(buf[starts[i] : ends[i]].tobytes() for i in g) for g in groups]
+        texts = [W.take(buf, starts[g], ends[g]).tobytes() for g in groups]
         for g, text, ids in zip(groups, texts, self._run([t.decode() for t in texts]), strict=True):
             reached = np.cumsum(self.bytes_of[ids])
             if not len(g):
@@ -251,9 +251,19 @@ class PieceEncoder:
         self.ids = np.concatenate((self.ids, *parts))
 
 
+_encoders: dict[str, PieceEncoder] = {}
+
+
+def encoder_for(path: str) -> PieceEncoder:
+    """One encoder for each tokenizer and Python worker: its cache outlives a task."""
+    if path not in _encoders:
+        _encoders[path] = PieceEncoder(path)
+    return _encoders[path]
+
+
 def _packer(path: str, end_id: int, record_ids: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, names, counts, parts, size = PieceEncoder(path), [], [], [], 0
+        encoder, names, counts, parts, size = encoder_for(path), [], [], [], 0
 
         def record() -> pa.RecordBatch:
             out = to_record(names, np.concatenate(counts), np.concatenate(parts))

@@ -86,6 +86,13 @@ def span_hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np
         return mix((high - low) * scale + (ends - starts).astype(U))
 
 
+def take(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The bytes of the spans behind one another."""
+    size = ends - starts
+    to = np.cumsum(size)
+    return buf[np.arange(to[-1] if len(to) else 0) + np.repeat(starts - (to - size), size)]
+
+
 def runs(words: np.ndarray, n: int) -> np.ndarray:
     """A hash of each run of n consecutive words, by doubling; run i starts at word i. Runs across texts are among them."""
     if len(words) < n:

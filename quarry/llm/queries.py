@@ -19,6 +19,13 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import plan_copies
+
+    plan = plan_copies(_table(spark, sf_dir, "documents"))
+    return plan.selectExpr("doc_id", "size", "source_size", "target", "copies * size as taken", "copies")
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_leaks
 
@@ -60,6 +67,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
+    "op2_mix_sources": op2_mix_sources,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_cnn": op6_quality_cnn,
     "op7_jaccard_join": op7_jaccard_join,

@@ -26,6 +26,12 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.selectExpr("doc_id", "size", "source_size", "target", "copies * size as taken", "copies")
 
 
+def op3_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import search
+
+    return search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_leaks
 
@@ -68,6 +74,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_store": op1_token_store,
     "op2_mix_sources": op2_mix_sources,
+    "op3_multi_index": op3_multi_index,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_cnn": op6_quality_cnn,
     "op7_jaccard_join": op7_jaccard_join,

@@ -14,8 +14,9 @@ cost nothing. Two sets link when 100 * |A and B| >= PERCENT * |A or B|.
    may have; equal subsets are links, settled by one aggregation.
 3. Heavy sets scan inverted lists. Shingles are ordered from rare to frequent;
    two sets that link share one among the first n - ceil(PERCENT n / 100) + 1.
-   Each set is first compared with the list mate that it meets most often; what
-   links grows into components. Then every pair of list mates in different
+   In a few rounds each set is compared with a few sets that share most pairs of
+   minimal hashes with it, and with the one among those whose shingles are the most
+   frequent, which the others were likely copied from; what links grows into components. Then every pair of list mates in different
    components that passes the length and the positional filter is verified, so
    a list full of one group's copies costs no pairs, and no link between
    components is lost.
@@ -45,6 +46,8 @@ from .substring_dedup import PROBES, SLICE, TEXTS, _batch, _grouped, _keyed, _pa
 SHINGLE, PERCENT = 5, 80
 #: Sizes above this are never light: a set has too many subsets whatever the counts say.
 MOST_LIGHT = 16
+#: Rounds in which a set is compared with a few likely mates only, before all pairs of components that are left; pairs of minimal hashes by which mates are found.
+ROUNDS, BANDS = 2, 16
 
 
 def required(p: int, q: int) -> int:
@@ -145,6 +148,14 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def _bands(own: np.ndarray) -> list[int]:
+    """Pairs of minimal hashes of a set; sets alike have many in common."""
+    with np.errstate(over="ignore"):
+        least = [W.mix(own ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))).min() for k in range(1, 2 * BANDS + 1)]
+        pairs = np.array(least, np.uint64).reshape(-1, 2)
+        return W.mix(W.mix(pairs[:, 0] + np.arange(BANDS, dtype=np.uint64)) + pairs[:, 1]).view(np.int64).tolist()
+
+
 def _sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Columns sid, df, text. Emits each set's shared shingles from rare to frequent."""
 
@@ -154,7 +165,7 @@ def _sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
             for i, buf, off in _slices(batch.column(2)):
                 text, h = shingles(buf, off)
                 cut = np.searchsorted(text, np.arange(len(off)))
-                sets, sizes, rare = [], [], []
+                sets, sizes, rare, marks, hubs = [], [], [], [], []
                 for k in range(len(off) - 1):
                     own = h[cut[k] : cut[k + 1]]
                     own = own[np.argsort((own % np.uint64(buckets)).astype(np.int64), kind="stable")]
@@ -162,10 +173,12 @@ def _sets(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     order = np.lexsort((own, df))
                     order = order[df[order] > 1]
                     sets.append(own[order].view(np.int64))
+                    marks.append(_bands(own))
+                    hubs.append(float(df.mean()))
                     sizes.append(len(own))
                     rare.append(int(df[order[: len(own) - -(-PERCENT * len(own) // 100) + 1 - (len(own) - len(order))]].astype(np.int64).sum()))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-                yield pa.RecordBatch.from_arrays([sid.slice(i, len(sets)), pa.array(sizes, pa.int64()), lists, pa.array(rare, pa.int64())], ["sid", "n", "items", "scanned"])
+                yield pa.RecordBatch.from_arrays([sid.slice(i, len(sets)), pa.array(sizes, pa.int64()), lists, pa.array(rare, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(hubs, pa.float64())], ["sid", "n", "items", "scanned", "bands", "hub"])
 
     return run
 
@@ -216,26 +229,51 @@ def heavy_links(sets: DataFrame, boundary: int) -> DataFrame:
     lists = materialise(lists.select("item", "sid", "n", (F.col("alone") + F.col("pos")).alias("pos")), "lists")
     many = lists.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
     lists = materialise(lists.join(many.select("item"), "item", "left_semi"), "lists")
-    by_size = Window.partitionBy("item").orderBy(F.floor(F.log("n") * 10000))
-    reach = math.ceil(math.log(100 / PERCENT) * 10000) + 1
-    mates = lists.select("sid", F.min("sid").over(by_size.rangeBetween(-reach, 0)).alias("least"), F.lag("sid").over(Window.partitionBy("item").orderBy("n", "sid")).alias("next"))
-    met = mates.select("sid", F.explode(F.array(F.struct(F.col("least").alias("b"), F.lit(0).alias("how")), F.struct(F.col("next").alias("b"), F.lit(1).alias("how")))).alias("m")).select("sid", "m.b", "m.how").filter("b is not null and b != sid")
-    often = met.groupBy("sid", "b", "how").count()
-    best = often.groupBy("sid", "how").agg(F.max_by("b", F.struct("count", "b")).alias("b")).select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).distinct()
-    first = materialise(_verified(best, part), "links")
-    groups = components(first)
+    alike = materialise(part.select("sid", "n", "hub", F.explode("bands").alias("item")), "bands")
+    links = None
+    for _ in range(ROUNDS):
+        placed = _placed(alike, links)
+        found = materialise(_verified(_mates(placed), part), "links")
+        links = found if links is None else materialise(links.unionByName(found).distinct(), "links")
     # lists of one component are done; of the others, what is not of the largest component meets everything else
-    placed = materialise(lists.join(groups.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "placed")
-    share = placed.groupBy("item", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = share.groupBy("item").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    here = placed.join(main.select("item", "main"), "item")
+    placed = _placed(lists, links)
+    here = placed.filter("parts > 1")
     one, two = here.filter("label != main").alias("x"), here.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
     in_reach = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-    possible = 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1 >= need
+    possible = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
     pairs = one.join(two, F.col("x.item") == F.col("y.item")).filter((F.col("x.label") != F.col("y.label")) & in_reach & possible)
     pairs = pairs.select(F.greatest("x.sid", "y.sid").alias("a"), F.least("x.sid", "y.sid").alias("b")).distinct()
-    return first.unionByName(materialise(_verified(pairs, part), "links"))
+    return links.unionByName(materialise(_verified(pairs, part), "links"))
+
+
+def _placed(lists: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The lists with every entry's component, the list's largest component and how many it has."""
+    if links is None:
+        placed = lists.withColumn("label", F.col("sid"))
+    else:
+        placed = lists.join(components(links).withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    placed = materialise(placed, "placed")
+    share = placed.groupBy("item", "label").agg(F.count(F.lit(1)).alias("k"))
+    main = share.groupBy("item").agg(F.max_by("label", F.struct("k", "label")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    return placed.join(main, "item")
+
+
+def _mates(placed: DataFrame) -> DataFrame:
+    """For each set the mates of other components that it meets most often: those next to it by size, and the one whose shingles are the
+    most frequent. That one is likely what the others were copied from. A number of pairs in proportion to the lists."""
+    along, whole = Window.partitionBy("item").orderBy("n", "sid"), Window.partitionBy("item")
+    tries = [F.when(f("label").over(along) != F.col("label"), f("sid").over(along)) for f in (F.lag, F.lead)]
+    hub = F.max(F.struct("hub", "sid", "label")).over(whole)
+    tries.append(F.when(hub["label"] != F.col("label"), hub["sid"]))
+    near = Window.partitionBy("item").orderBy("hub", "sid")
+    tries.append(F.when(F.lead("label").over(near) != F.col("label"), F.lead("sid").over(near)))
+    met = placed.filter("parts > 1").select("sid", *(t.alias(f"try{k}") for k, t in enumerate(tries)))
+    each = F.explode(F.array(*(F.struct(F.col(f"try{k}").alias("b"), F.lit(k).alias("how")) for k in range(len(tries)))))
+    met = met.select("sid", each.alias("m")).filter("m.b is not null").select("sid", "m.b", "m.how")
+    often = met.groupBy("sid", "b", "how").count()
+    best = often.groupBy("sid", "how").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
+    return best.filter("b is not null").select(F.greatest("sid", "b").alias("a"), F.least("sid", "b").alias("b")).filter("a != b").distinct()
 
 
 def boundary_by_cost(sets: DataFrame) -> int:
@@ -265,7 +303,7 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = materialise(classes.select(F.col("s1").alias("sid"), "s2", "rep.doc_id", "rep.h1", "rep.h2", "df"), "classes")
     likely = classes.filter("df is not null")
     texts = only(keyed, likely, ["h1", "h2", "doc_id"]).alias("d").join(likely.alias("c"), (F.col("d.h1") == F.col("c.h1")) & (F.col("d.h2") == F.col("c.h2")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    sets = materialise(texts.select("sid", "df", "text").mapInArrow(_sets(buckets), "sid long, n long, items array<long>, scanned long").dropDuplicates(["sid"]), "sets")
+    sets = materialise(texts.select("sid", "df", "text").mapInArrow(_sets(buckets), "sid long, n long, items array<long>, scanned long, bands array<long>, hub double").dropDuplicates(["sid"]), "sets")
     boundary = boundary_by_cost(sets)
     links = light_links(sets, boundary).unionByName(heavy_links(sets, boundary))
     groups = components(links)

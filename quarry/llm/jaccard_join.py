@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import arrow_rows, materialise, only, reclaim
+from .scratch import arrow_rows, materialise, only, reclaim, without
 from .substring_dedup import PROBES, SLICE, TEXTS, _batch, _grouped, _keyed, _parts, _PACKED, _row, bucket_count
 
 SHINGLE, PERCENT = 5, 80
@@ -290,8 +290,8 @@ def boundary_by_cost(sets: DataFrame) -> int:
     return best
 
 
-def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id."""
+def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, h1, h2 (of its text), n_shingles, component_id, component (names the group; null without words)."""
     spark = docs.sparkSession
     arrow_rows(spark, 1000)
     keyed = _keyed(docs, id_col, text_col)
@@ -308,8 +308,29 @@ def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = light_links(sets, boundary).unionByName(heavy_links(sets, boundary))
     groups = components(links)
     least = groups.withColumnRenamed("node", "sid").join(classes.select("sid", "doc_id"), "sid").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    named = groups.join(least, "label").select(F.col("node").alias("s1"), "component_id")
-    own = classes.select(F.col("sid").alias("s1"), "s2", F.col("doc_id").alias("class_id")).join(named, "s1", "left").select("s1", "s2", F.coalesce("component_id", "class_id").alias("component_id"))
+    named = groups.join(least, "label").select(F.col("node").alias("s1"), "label", "component_id")
+    own = classes.select(F.col("sid").alias("s1"), "s2", F.col("doc_id").alias("class_id")).join(named, "s1", "left").select("s1", "s2", F.coalesce("label", "s1").alias("component"), F.when(F.col("label").isNull(), F.col("class_id")).otherwise(F.col("component_id")).alias("component_id"))
     named = materialise(own, "named")
-    out = state.select("doc_id", "s1", "s2", "n").join(named, ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    out = state.select("doc_id", "h1", "h2", "s1", "s2", "n").join(named, ["s1", "s2"], "left")
+    return out.select("doc_id", "h1", "h2", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(F.col("n") > 0, F.col("component")).alias("component"))
+
+
+def join_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id."""
+    return group_documents(docs, id_col, text_col).select("doc_id", "n_shingles", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which none of their group has a smaller id, all columns kept; those without words all stay."""
+    groups = materialise(group_documents(docs, id_col, text_col), "groups")
+    at = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
+    first = groups.filter("component is not null").groupBy("component").agg(F.min(at).alias("first"))
+    others = groups.join(first, "component").filter(~at.eqNullSafe(F.col("first")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    by = {"doc_id": F.col(id_col).cast("long"), "h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
+    left = without(docs, others.select("doc_id", "h1", "h2"), by)
+    again = materialise(groups.filter("component is not null").groupBy("doc_id", "h1", "h2").count().filter("count > 1").drop("count"), "again")
+    if again.isEmpty():
+        return left
+    once = only(left.withColumns({f"_once_{c}": v for c, v in by.items()}), again.toDF(*(f"_once_{c}" for c in again.columns)), [f"_once_{c}" for c in by]).dropDuplicates([f"_once_{c}" for c in by])
+    return without(left, again, by).unionByName(once.select(*docs.columns))

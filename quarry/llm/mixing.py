@@ -21,10 +21,13 @@ interchangeable. Extra columns are passed through by `mix_documents`.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import BROADCAST_ROWS, materialise
 
 MOST = 3
 #: Relative error at which a source counts as solved, and the most steps.
@@ -111,10 +114,14 @@ def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> Data
     """The documents themselves, each as many times as it is taken. Copies are dealt by id, source and size, any of the rows that agree in these."""
     planned = plan_copies(docs, weights)
     own = ["_mix_id", "_mix_key", "_mix_size"]
-    like = Window.partitionBy(*own)
-    plan = materialise(planned.select(F.col("doc_id").alias(own[0]), F.col("key").alias(own[1]), F.col("size").alias(own[2]), F.col("copies").alias("_mix_copies")).withColumn("_mix_turn", F.row_number().over(like.orderBy("_mix_copies"))), "copies")
+    plan = materialise(planned.select(F.col("doc_id").alias(own[0]), F.col("key").alias(own[1]), F.col("size").alias(own[2]), F.col("copies").alias("_mix_copies")), "copies")
     rows = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("doc_id").cast("long").alias(own[0]), _key(F.col("source")).alias(own[1]), words_in(F.col("text")).alias(own[2]))
-    rows = rows.withColumn("_mix_turn", F.row_number().over(like.orderBy("_mix_row.text")))
-    same = [plan[c].eqNullSafe(rows[c]) for c in (*own, "_mix_turn")]
-    taken = rows.join(plan.filter("_mix_copies > 0"), same[0] & same[1] & same[2] & same[3])
+    if not plan.groupBy(*own).count().filter("count > 1").isEmpty():  # rows that agree in all three take turns
+        like = Window.partitionBy(*own)
+        plan = plan.withColumn("_mix_turn", F.row_number().over(like.orderBy("_mix_copies")))
+        rows = rows.withColumn("_mix_turn", F.row_number().over(like.orderBy("_mix_row.text")))
+        own = [*own, "_mix_turn"]
+    plan = plan.filter("_mix_copies > 0")
+    few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    taken = rows.join(F.broadcast(plan) if few else plan, reduce(and_, (plan[c].eqNullSafe(rows[c]) for c in own)))
     return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select("_mix_row.*")

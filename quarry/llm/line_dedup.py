@@ -9,8 +9,8 @@ are judged on the input, not on what is left. Lines without words stay.
    they are the rarer ones of a counter, then its hash: rare words first. The order only
    has to be the same for all lines; the counters are of a fixed number.
 2. Equal sets form one class; all its lines but the first go.
-3. Two sets alike share a word among the first n - ceil(PERCENT n / 100) + 1 of each, so
-   only these are listed. First each set is compared with the earliest one that shares one
+3. Two sets alike share SHARED words among the first n - ceil(PERCENT n / 100) + SHARED of
+   each, so only these are listed. First each set is compared with the earliest one that shares one
    of its two rarest words, and with the one of these made of the most frequent words.
    What is still there then meets every earlier set in its lists that passes the length
    and the positional filter, and a filter by 64 bits that the words set.
@@ -30,6 +30,8 @@ from .scratch import materialise, only, reclaim
 
 PERCENT = 80
 BUCKETS = 1 << 14
+#: Words that the prefixes of two sets alike must share; three, as sets alike and not equal have four words in common at least.
+SHARED = 3
 #: Of a word's key, those of its hash; above them stand its counter's logarithm and its length.
 _BITS = 50
 
@@ -50,8 +52,10 @@ def word_places(docs: DataFrame, text_col: str = "text") -> Column:
     return F.split(F.lit(",".join(places)), ",").cast("array<int>")
 
 
-def lines(docs: DataFrame, places: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, line, n, id (of the set of words) and its words' keys, rare ones first; a document without lines has one row, line null."""
+def lines(docs: DataFrame, places: Column, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
+    """doc_id, row, line, n, id (of the set of words) and its words' keys, rare ones first; a document without lines has one row, line null.
+
+    among: doc_id, line; only such lines."""
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
@@ -60,6 +64,8 @@ def lines(docs: DataFrame, places: Column, id_col: str = "doc_id", text_col: str
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = own.select("doc_id", "row", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "text"))
+    if among is not None:
+        rows = only(rows, among, ["doc_id", "line"])
     keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("text", " "), ""), key)))
     return rows.select("doc_id", "row", "line", F.coalesce(keys, F.array().cast("array<long>")).alias("keys")).select("doc_id", "row", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("id"), "keys")
 
@@ -83,7 +89,7 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Two written tables: all lines (doc_id, row, line, n, id), and the lines that stay (doc_id, row, line)."""
     spark = docs.sparkSession
     places = word_places(docs, text_col)
-    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + SHARED).cast("int"))
     bits = F.expr("aggregate(keys, 0L, (s, x) -> s | shiftleft(1L, cast(x & 63 as int)))")
     found = lines(docs, places, id_col, text_col)
     every = materialise(found.select("doc_id", "row", "line", "n", "id", F.when(F.col("n") >= 4, prefix).alias("prefix"), F.when(F.col("n") >= 4, bits).alias("bits")), "lines")
@@ -103,9 +109,10 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = materialise(_alike(likely, _sets(docs, places, classes, likely, id_col, text_col)), "gone")
     x, y = listed.join(gone, "id", "left_anti").alias("x"), listed.alias("y")
     need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
-    possible = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
+    possible = SHARED - 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
     pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & possible & _can(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits")) & (F.col("y.at") < F.col("x.at")))
-    pairs = materialise(pairs.select(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).distinct(), "pairs")
+    pairs = pairs.groupBy(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).agg(F.count(F.lit(1)).alias("k"))
+    pairs = materialise(pairs.filter(F.col("k") >= SHARED).select("later", "earlier"), "pairs")
     reclaim(spark)
     gone = gone.unionByName(materialise(_alike(pairs, _sets(docs, places, classes, pairs, id_col, text_col)), "gone"))
     kept = classes.join(gone, "id", "left_anti").select("at.doc_id", "at.row", "at.line")
@@ -115,10 +122,10 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def _sets(docs: DataFrame, places: Column, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The words of all sets in the pairs, from those documents alone in which they first stand."""
     ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
-    wanted = materialise(classes.join(ids, "id", "left_semi").select("id", F.col("at.doc_id").alias("first_in")), "wanted")
-    own = docs.select(F.col(id_col).cast("long").alias("first_in"), F.col(text_col).alias("text"))
-    found = lines(only(own, wanted, ["first_in"]), places, "first_in", "text")
-    return materialise(only(found.filter("n >= 4").select("id", "keys"), wanted, ["id"]).dropDuplicates(["id"]), "sets")
+    wanted = materialise(classes.join(ids, "id", "left_semi").select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")), "wanted")
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    found = lines(only(own, wanted, ["doc_id"]), places, "doc_id", "text", wanted)
+    return materialise(found.select("id", "keys").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

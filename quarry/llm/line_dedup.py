@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialise, only, reclaim
+from .scratch import BROADCAST_ROWS, discard, materialise, new_path, only, reclaim
 
 PERCENT = 80
 BUCKETS = 1 << 14
@@ -43,13 +43,13 @@ def _spaced(text: Column) -> Column:
 
 
 def word_places(docs: DataFrame, text_col: str = "text") -> Column:
-    """An array of BUCKETS constants: the binary logarithm of each counter."""
+    """An array of BUCKETS constants: the binary logarithm of each counter, as a key's highest bits."""
     words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text_col).cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
-    counted = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     places = ["0"] * BUCKETS
     for r in counted.collect():  # at most BUCKETS rows
-        places[r["bucket"]] = str(min(r["n"].bit_length(), 31))
-    return F.split(F.lit(",".join(places)), ",").cast("array<int>")
+        places[r["bucket"]] = str(min(r["n"].bit_length(), 31) << _BITS + 8)
+    return F.split(F.lit(",".join(places)), ",").cast("array<long>")
 
 
 def lines(docs: DataFrame, places: Column, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
@@ -57,19 +57,25 @@ def lines(docs: DataFrame, places: Column, id_col: str = "doc_id", text_col: str
 
     among: doc_id, line; only such lines."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        place = F.element_at(places, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")) * 256 + 255 - F.least(F.octet_length(w), F.lit(255))
-        return F.shiftleft(place.cast("long"), _BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << _BITS) - 1)))
+    def named(w: Column) -> Column:
+        return F.xxhash64(w).bitwiseAND(F.lit((1 << _BITS) - 1)).bitwiseOR(F.shiftleft((F.lit(255) - F.least(F.octet_length(w), F.lit(255))).cast("long"), _BITS))
+
+    def ranked(k: Column) -> Column:
+        return k.bitwiseOR(places[k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")])
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
     rows = own.select("doc_id", "row", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "text"))
     if among is not None:
         rows = only(rows, among, ["doc_id", "line"])
-    keys = F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split("text", " "), ""), key)))
+    keys = F.sort_array(F.transform(F.array_distinct(F.transform(F.array_remove(F.split("text", " "), ""), named)), ranked))
     return rows.select("doc_id", "row", "line", F.coalesce(keys, F.array().cast("array<long>")).alias("keys")).select("doc_id", "row", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("id"), "keys")
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """With leave to broadcast if its rows, of a number or two, are counted to be few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _can(n: Column, m: Column, bits: Column, other: Column) -> Column:
     """Whether sets of n and m words may be alike: by length, and by the words that their bits prove to differ."""
     in_reach = (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT)
@@ -92,31 +98,45 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + SHARED).cast("int"))
     bits = F.expr("aggregate(keys, 0L, (s, x) -> s | shiftleft(1L, cast(x & 63 as int)))")
     found = lines(docs, places, id_col, text_col)
-    every = materialise(found.select("doc_id", "row", "line", "n", "id", F.when(F.col("n") >= 4, prefix).alias("prefix"), F.when(F.col("n") >= 4, bits).alias("bits")), "lines")
+    path = new_path(spark, "listed")
+    found.select("doc_id", "row", "line", "n", "id", F.when(F.col("n") >= 4, prefix).alias("prefix"), F.when(F.col("n") >= 4, bits).alias("bits")).write.parquet(path)
+    every = spark.read.schema("doc_id long, row long, line int, n int, id long, prefix array<long>, bits long").parquet(path)
     classes = every.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
     classes = materialise(classes, "classes")
+    every = materialise(every.drop("prefix", "bits"), "lines")
+    discard(spark, path)
     reclaim(spark)
     # sets of fewer than four words are alike only if they are equal
-    listed = classes.filter("n >= 4").select("id", "at", "n", "bits", F.posexplode("prefix").alias("pos", "item"))
-    near = listed.filter("pos < 2")
-    common = F.element_at("prefix", -1)
-    hubs = near.groupBy("item").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("at", "id", "n", "bits")).alias("e"))
-    met = near.join(hubs.filter("k > 1"), "item").filter("e.at < at").select(F.col("id").alias("later"), F.col("e.id").alias("earlier"), "n", "bits", F.col("e.n").alias("m"), F.col("e.bits").alias("other"))
-    usual = classes.filter("n >= 4").select("id", "at", "n", "bits", common.alias("common"), F.explode(F.slice("prefix", 1, 2)).alias("item"))
-    often = usual.groupBy("item").agg(F.count(F.lit(1)).alias("k"), F.max(F.struct("common", "at", "id", "n", "bits")).alias("e"))
-    met = met.unionByName(near.join(often.filter("k > 1"), "item").filter("e.at < at").select(F.col("id").alias("later"), F.col("e.id").alias("earlier"), "n", "bits", F.col("e.n").alias("m"), F.col("e.bits").alias("other")))
-    likely = materialise(met.filter(_can(F.col("n"), F.col("m"), F.col("bits"), F.col("other"))).select("later", "earlier").distinct(), "pairs")
+    able = classes.filter("n >= 4")
+    near = able.select("id", "at", "n", "bits", F.element_at("prefix", -1).alias("common"), F.explode(F.slice("prefix", 1, 2)).alias("item"))
+    group = Window.partitionBy("item")
+    near = near.withColumns({"first": F.min(F.struct("at", "id", "n", "bits")).over(group), "usual": F.max(F.struct("common", "at", "id", "n", "bits")).over(group)}).filter("first.id != id")
+    each = F.explode(F.array(F.col("first"), F.struct("usual.at", "usual.id", "usual.n", "usual.bits"))).alias("e")
+    met = near.select("id", "at", "n", "bits", each).filter((F.col("e.at") < F.col("at")) & _can(F.col("n"), F.col("e.n"), F.col("bits"), F.col("e.bits")))
+    likely = materialise(met.select(F.col("id").alias("later"), F.col("e.id").alias("earlier")).distinct(), "pairs")
     gone = materialise(_alike(likely, _sets(docs, places, classes, likely, id_col, text_col)), "gone")
-    x, y = listed.join(gone, "id", "left_anti").alias("x"), listed.alias("y")
-    need = F.ceil((F.col("x.n") + F.col("y.n")) * PERCENT / (100 + PERCENT))
-    possible = SHARED - 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
-    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & possible & _can(F.col("x.n"), F.col("y.n"), F.col("x.bits"), F.col("y.bits")) & (F.col("y.at") < F.col("x.at")))
-    pairs = pairs.groupBy(F.col("x.id").alias("later"), F.col("y.id").alias("earlier")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = materialise(pairs.filter(F.col("k") >= SHARED).select("later", "earlier"), "pairs")
     reclaim(spark)
+    # both sides of the join are the same rows, so they are dealt out once: item, id, bits, and size, place and whether it is gone in one number
+    state = able.join(_small(gone.withColumn("gone", F.lit(1))), "id", "left")
+    listed = state.select("id", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("gone", F.lit(0))).alias("own"), F.posexplode("prefix").alias("pos", "item"))
+    listed = listed.select("item", "id", "bits", (F.col("own") + F.col("pos") * 2).alias("own"))
+    x, y = listed.alias("x"), listed.alias("y")
+    size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
+    need = (size("x.own") + size("y.own")) * PERCENT
+    possible = (SHARED - 1 + F.least(size("x.own") - place("x.own"), size("y.own") - place("y.own"))) * (100 + PERCENT) >= need
+    open_still = F.col("x.own").bitwiseAND(F.col("y.own")).bitwiseAND(F.lit(1)) == 0
+    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & possible & open_still & _can(size("x.own"), size("y.own"), F.col("x.bits"), F.col("y.bits")))
+    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    pairs = materialise(pairs.filter(F.col("k") >= SHARED).select("a", "b"), "pairs")
+    reclaim(spark)
+    placed = classes.select("id", "at").join(_small(gone.withColumn("gone", F.lit(True))), "id", "left")
+    both = pairs.join(placed.toDF("a", "at_a", "gone_a"), "a").join(placed.toDF("b", "at_b", "gone_b"), "b")
+    a_later = F.col("at_b") < F.col("at_a")
+    pairs = both.filter(F.when(a_later, F.col("gone_a")).otherwise(F.col("gone_b")).isNull()).select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(a_later, F.col("b")).otherwise(F.col("a")).alias("earlier"))
+    pairs = materialise(pairs, "pairs")
     gone = gone.unionByName(materialise(_alike(pairs, _sets(docs, places, classes, pairs, id_col, text_col)), "gone"))
     kept = classes.join(gone, "id", "left_anti").select("at.doc_id", "at.row", "at.line")
-    return every.drop("prefix", "bits"), materialise(kept, "kept")
+    return every, materialise(kept, "kept")
 
 
 def _sets(docs: DataFrame, places: Column, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -63,6 +63,20 @@ def chains(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int)
       WHERE over OR depth = {depth} OR NOT EXISTS (SELECT 1 FROM {view} e WHERE e.src = w.node)""")
 
 
+def paths_to(spark: SparkSession, edges: DataFrame, start: int, end: str, most: int) -> DataFrame:
+    """path: simple paths of at most `most` nodes from the start to a node for which `end` holds; a path goes no further than such a node."""
+    view = f"edges_{id(edges)}"
+    edges.createOrReplaceTempView(view)
+    on = "true" if end == "true" else f"NOT (w.{end})"
+    return spark.sql(f"""
+      WITH RECURSIVE walk(node, path) AS (
+        SELECT CAST({start} AS BIGINT), array(CAST({start} AS BIGINT))
+        UNION ALL
+        SELECT e.dst, array_append(w.path, e.dst) FROM walk w JOIN {view} e ON w.node = e.src
+        WHERE size(w.path) < {most} AND {on} AND NOT array_contains(w.path, e.dst))
+      SELECT array_join(path, '>') AS path FROM walk WHERE {end}""")
+
+
 def short_cycles(edges: DataFrame) -> DataFrame:
     """Cycles of two and three different nodes, each once, from its least node."""
     e = edges.select("src", "dst").filter("src != dst").distinct()

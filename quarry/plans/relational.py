@@ -384,7 +384,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("agg_31_affixes", "SELECT word, count(*) AS n FROM (SELECT regexp_extract(unnest(string_split(p_name, ' ')), '^[a-zA-Z]+', 0) AS word FROM part) WHERE word <> '' GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
 def _(t: Tables) -> DataFrame:
-    words = t["part"].select(F.regexp_extract(F.explode(F.split("p_name", " ")), "^[a-zA-Z]+", 0).alias("word")) if False else t["part"].select(F.explode(F.split("p_name", " ")).alias("w")).select(F.regexp_extract("w", "^[a-zA-Z]+", 0).alias("word"))
+    words = t["part"].select(F.explode(F.split("p_name", " ")).alias("w")).select(F.regexp_extract("w", "^[a-zA-Z]+", 0).alias("word"))
     return words.filter("word != ''").groupBy("word").agg(n().alias("n")).orderBy(F.desc("n"), "word").limit(50)
 
 

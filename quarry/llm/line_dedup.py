@@ -4,71 +4,136 @@ A line is the set of its words. A line goes if an earlier line of the corpus, by
 document id and line number, has a Jaccard similarity of at least PERCENT % with it; lines
 are judged on the input, not on what is left. Lines without words stay.
 
-1. Words are counted over all documents in BUCKETS counters by hash. A word's place
-   in the order is the logarithm of its counter, then its length, long words first as
-   they are the rarer ones of a counter, then its hash: rare words first. The order only
-   has to be the same for all lines; the counters are of a fixed number.
+1. Words are counted over all documents in COUNTERS counters by hash. A word's place
+   in the order is its counter, on a logarithmic scale, then its hash: rare words first.
+   The order only has to be the same for all lines; the counters are of a fixed number.
 2. Equal sets form one class; all its lines but the first go.
 3. Two sets alike share SHARED words among the first n - ceil(PERCENT n / 100) + SHARED of
-   each, so only these are listed. First each set is compared with the earliest one that shares one
-   of its two rarest words, and with the one of these made of the most frequent words.
-   What is still there then meets every earlier set in its lists that passes the length
-   and the positional filter, and a filter by 64 bits that the words set.
+   each, so only these are listed. First each set is compared with the earliest one that
+   shares one of its two rarest words, and with the one of these made of the most frequent
+   words. What is still there then meets every other set in its lists that passes the
+   length and the positional filter, and a bound on the overlap by 256 bits that the
+   words set.
 4. All words of the pairs found are compared.
 
-DataFrame functions only. Words and sets are told apart by 50-bit and 64-bit hashes.
-Null texts have no lines. Of documents with one id, and of null ids, which come first,
-the order is that in which they are read.
+Splitting, hashing and ordering the words is numpy over Arrow batches; all joins and
+aggregations are DataFrame operations. (In DataFrame functions alone the same method
+costs nearly twice the budget; the README has the figures.)
+
+Words are told apart by 56-bit, sets by 64-bit hashes. Null texts have no lines. Of
+documents with one id, and of null ids, which come first, the order is that in which
+they are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, discard, materialise, new_path, only, reclaim
+from . import words as W
+from .scratch import BROADCAST_ROWS, arrow_rows, discard, materialise, new_path, only, reclaim
 
 PERCENT = 80
-BUCKETS = 1 << 14
+COUNTERS, _PARTS = 1 << 20, 64
 #: Words that the prefixes of two sets alike must share; three, as sets alike and not equal have four words in common at least.
 SHARED = 3
-#: Of a word's key, those of its hash; above them stand its counter's logarithm and its length.
-_BITS = 50
-
-
-def _spaced(text: Column) -> Column:
-    for c in "\t\x0b\x0c\r":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
-def word_places(docs: DataFrame, text_col: str = "text") -> Column:
-    """An array of BUCKETS constants: the binary logarithm of each counter, as a key's highest bits."""
-    words = docs.select(F.explode(F.split(F.replace(_spaced(F.col(text_col).cast("string")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w != ''")
-    counted = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    places = ["0"] * BUCKETS
-    for r in counted.collect():  # at most BUCKETS rows
-        places[r["bucket"]] = str(min(r["n"].bit_length(), 31) << _BITS + 8)
-    return F.split(F.lit(",".join(places)), ",").cast("array<long>")
-
-
-def lines(docs: DataFrame, places: Column, id_col: str = "doc_id", text_col: str = "text", among: DataFrame | None = None) -> DataFrame:
-    """doc_id, row, line, n, id (of the set of words) and its words' keys, rare ones first; a document without lines has one row, line null.
-
-    among: doc_id, line; only such lines."""
-
-    def named(w: Column) -> Column:
-        return F.xxhash64(w).bitwiseAND(F.lit((1 << _BITS) - 1)).bitwiseOR(F.shiftleft((F.lit(255) - F.least(F.octet_length(w), F.lit(255))).cast("long"), _BITS))
-
-    def ranked(k: Column) -> Column:
-        return k.bitwiseOR(places[k.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")])
-
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("row", F.monotonically_increasing_id())
-    rows = own.select("doc_id", "row", F.posexplode_outer(F.split(_spaced(F.col("text")), "\n")).alias("line", "text"))
-    if among is not None:
-        rows = only(rows, among, ["doc_id", "line"])
-    keys = F.sort_array(F.transform(F.array_distinct(F.transform(F.array_remove(F.split("text", " "), ""), named)), ranked))
-    return rows.select("doc_id", "row", "line", F.coalesce(keys, F.array().cast("array<long>")).alias("keys")).select("doc_id", "row", "line", F.size("keys").alias("n"), F.xxhash64("keys").alias("id"), "keys")
+#: Of a word's key, those of its hash; above them stands its counter's logarithm.
+_BITS = 56
+_MAPS = 4
+SLICE = 1 << 22
+
+
+def _line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of all lines of the texts (each with its line feed), and the text of each line."""
+    begin = np.concatenate((off[:-1], np.flatnonzero(buf == 10) + 1))
+    text = np.concatenate((np.arange(len(off) - 1), np.searchsorted(off, np.flatnonzero(buf == 10), side="right") - 1))
+    order = np.lexsort((begin, text))
+    return np.append(begin[order], len(buf)), text[order]
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for _, buf, off in W.slices(batch.column(0), SLICE):
+            s, e, _ = W.spans(buf, off)
+            total += np.bincount((W.span_hash(buf, s, e) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    parts = total.reshape(_PARTS, -1)
+    yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
+
+
+def _sum(key: tuple, table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+
+def word_places(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """The logarithm of each counter, as a byte."""
+    schema = "part int, counts binary"
+    summed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, schema).groupBy("part").applyInArrow(_sum, schema)
+    total = np.zeros((_PARTS, COUNTERS // _PARTS), np.int64)
+    for r in summed.collect():  # COUNTERS numbers
+        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
+    return np.minimum(np.log2(1 + total.reshape(-1)) * 6, 255).astype(np.uint8)
+
+
+def _split(places, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Columns doc_id, row, text. Emits all lines: their words' keys, all of them or the first only, rare ones first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = places.value.astype(np.uint64) << np.uint64(_BITS)
+        for batch in batches:
+            for i, buf, off in W.slices(batch.column(2), SLICE):
+                given = ~np.asarray(batch.column(2).slice(i, len(off) - 1).is_null())
+                begin, text = _line_offsets(buf, off)
+                s, e, first = W.spans(buf, begin)
+                h = W.span_hash(buf, s, e)
+                key = table[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] | (h >> np.uint64(64 - _BITS))
+                line = np.repeat(np.arange(len(text)), np.diff(first))
+                order = np.argsort(key)
+                order = order[np.argsort(line[order], kind="stable")]
+                key, line = key[order], line[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]))[: len(key)]
+                key, line = key[new], line[new]
+                n = np.bincount(line, minlength=len(text))
+                at = np.concatenate(([0], np.cumsum(n)))
+                with np.errstate(over="ignore"):
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(key))))[at]
+                    ids = W.mix(sums[1:] - sums[:-1] + n.astype(np.uint64)).view(np.int64)
+                number = np.arange(len(text)) - np.searchsorted(text, text)
+                columns = [batch.column(0).slice(i, len(off) - 1).take(pa.array(text)), batch.column(1).slice(i, len(off) - 1).take(pa.array(text)), pa.array(number, pa.int32(), mask=~given[text]), pa.array(n, pa.int32()), pa.array(ids)]
+                names = ["doc_id", "row", "line", "n", "id"]
+                listed = n if whole else np.where(n >= 4, n + (-PERCENT * n // 100) + SHARED, 0)
+                place = np.arange(len(key)) - at[line]
+                taken = key[place < listed[line]].view(np.int64)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(listed, n)))), pa.int32()), pa.array(taken)))
+                names.append("keys" if whole else "prefix")
+                if not whole:
+                    some = np.flatnonzero(n)
+                    bit, word = np.uint64(1) << (key & np.uint64(63)), (key >> np.uint64(6)) & np.uint64(_MAPS - 1)
+                    for m in range(_MAPS):
+                        bits = np.zeros(len(text), np.uint64)
+                        if len(some):
+                            bits[some] = np.bitwise_or.reduceat(np.where(word == m, bit, np.uint64(0)), at[some])
+                        columns.append(pa.array(bits.view(np.int64)))
+                        names.append(f"bits{m}")
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    return run
+
+
+_LINE = "doc_id long, row long, line int, n int, id long"
+_BITMAPS = [f"bits{m}" for m in range(_MAPS)]
+
+
+def lines(docs: DataFrame, places, whole: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, line, n, id (of the set of words), and keys or prefix and bits; a document without a text has one row, line null."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = f"{_LINE}, keys array<long>" if whole else f"{_LINE}, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITMAPS)
+    return own.mapInArrow(_split(places, whole), schema)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -76,10 +141,11 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def _can(n: Column, m: Column, bits: Column, other: Column) -> Column:
+def _can(n: Column, m: Column, bits: list[Column], other: list[Column]) -> Column:
     """Whether sets of n and m words may be alike: by length, and by the words that their bits prove to differ."""
     in_reach = (n * 100 >= m * PERCENT) & (m * 100 >= n * PERCENT)
-    return in_reach & ((n + m - F.bit_count(bits.bitwiseXOR(other))) * (100 + PERCENT) >= 2 * PERCENT * (n + m))
+    differ = sum((F.bit_count(a.bitwiseXOR(b)) for a, b in zip(bits[1:], other[1:], strict=True)), F.bit_count(bits[0].bitwiseXOR(other[0])))
+    return in_reach & ((n + m - differ) * (100 + PERCENT) >= 2 * PERCENT * (n + m))
 
 
 def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -94,16 +160,14 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two written tables: all lines (doc_id, row, line, n, id), and the lines that stay (doc_id, row, line)."""
     spark = docs.sparkSession
-    places = word_places(docs, text_col)
-    prefix = F.slice("keys", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + SHARED).cast("int"))
-    bits = F.expr("aggregate(keys, 0L, (s, x) -> s | shiftleft(1L, cast(x & 63 as int)))")
-    found = lines(docs, places, id_col, text_col)
-    path = new_path(spark, "listed")
-    found.select("doc_id", "row", "line", "n", "id", F.when(F.col("n") >= 4, prefix).alias("prefix"), F.when(F.col("n") >= 4, bits).alias("bits")).write.parquet(path)
-    every = spark.read.schema("doc_id long, row long, line int, n int, id long, prefix array<long>, bits long").parquet(path)
-    classes = every.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"))
+    arrow_rows(spark, 1000)
+    places = spark.sparkContext.broadcast(word_places(docs, text_col))  # COUNTERS bytes
+    found, path = lines(docs, places, False, id_col, text_col), new_path(spark, "listed")
+    found.write.parquet(path)
+    every = spark.read.schema(found.schema).parquet(path)
+    classes = every.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"), F.first("n").alias("n"), F.first(F.struct(*_BITMAPS)).alias("bits"), F.first("prefix").alias("prefix"))
     classes = materialise(classes, "classes")
-    every = materialise(every.drop("prefix", "bits"), "lines")
+    every = materialise(every.select("doc_id", "row", "line", "n", "id"), "lines")
     discard(spark, path)
     reclaim(spark)
     # sets of fewer than four words are alike only if they are equal
@@ -112,20 +176,20 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     group = Window.partitionBy("item")
     near = near.withColumns({"first": F.min(F.struct("at", "id", "n", "bits")).over(group), "usual": F.max(F.struct("common", "at", "id", "n", "bits")).over(group)}).filter("first.id != id")
     each = F.explode(F.array(F.col("first"), F.struct("usual.at", "usual.id", "usual.n", "usual.bits"))).alias("e")
-    met = near.select("id", "at", "n", "bits", each).filter((F.col("e.at") < F.col("at")) & _can(F.col("n"), F.col("e.n"), F.col("bits"), F.col("e.bits")))
+    met = near.select("id", "at", "n", "bits", each).filter((F.col("e.at") < F.col("at")) & _can(F.col("n"), F.col("e.n"), [F.col(f"bits.{b}") for b in _BITMAPS], [F.col(f"e.bits.{b}") for b in _BITMAPS]))
     likely = materialise(met.select(F.col("id").alias("later"), F.col("e.id").alias("earlier")).distinct(), "pairs")
     gone = materialise(_alike(likely, _sets(docs, places, classes, likely, id_col, text_col)), "gone")
     reclaim(spark)
-    # both sides of the join are the same rows, so they are dealt out once: item, id, bits, and size, place and whether it is gone in one number
+    # both sides of the join are the same rows, so they are dealt out once; size, place and whether a set is gone stand in one number
     state = able.join(_small(gone.withColumn("gone", F.lit(1))), "id", "left")
-    listed = state.select("id", "bits", (F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("gone", F.lit(0))).alias("own"), F.posexplode("prefix").alias("pos", "item"))
-    listed = listed.select("item", "id", "bits", (F.col("own") + F.col("pos") * 2).alias("own"))
+    listed = state.select("id", "bits.*", (F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("gone", F.lit(0))).alias("own"), F.posexplode("prefix").alias("pos", "item"))
+    listed = listed.select("item", "id", *_BITMAPS, (F.col("own") + F.col("pos") * 2).alias("own"))
     x, y = listed.alias("x"), listed.alias("y")
     size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
     need = (size("x.own") + size("y.own")) * PERCENT
     possible = (SHARED - 1 + F.least(size("x.own") - place("x.own"), size("y.own") - place("y.own"))) * (100 + PERCENT) >= need
     open_still = F.col("x.own").bitwiseAND(F.col("y.own")).bitwiseAND(F.lit(1)) == 0
-    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & possible & open_still & _can(size("x.own"), size("y.own"), F.col("x.bits"), F.col("y.bits")))
+    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & possible & open_still & _can(size("x.own"), size("y.own"), [F.col(f"x.{b}") for b in _BITMAPS], [F.col(f"y.{b}") for b in _BITMAPS]))
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("k"))
     pairs = materialise(pairs.filter(F.col("k") >= SHARED).select("a", "b"), "pairs")
     reclaim(spark)
@@ -139,13 +203,13 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return every, materialise(kept, "kept")
 
 
-def _sets(docs: DataFrame, places: Column, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, places, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The words of all sets in the pairs, from those documents alone in which they first stand."""
     ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
     wanted = materialise(classes.join(ids, "id", "left_semi").select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")), "wanted")
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = lines(only(own, wanted, ["doc_id"]), places, "doc_id", "text", wanted)
-    return materialise(found.select("id", "keys").join(wanted.select("id"), "id", "left_semi").dropDuplicates(["id"]), "sets")
+    found = lines(only(own, wanted, ["doc_id"]), places, True, "doc_id", "text")
+    return materialise(only(found.select("doc_id", "line", "id", "keys"), wanted, ["doc_id", "line", "id"]).select("id", "keys").dropDuplicates(["id"]), "sets")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,11 +10,12 @@ are judged on the input, not on what is left. Lines without words stay.
 2. Equal sets form one class; all its lines but the first go.
 3. Two sets alike share SHARED words among the first n - ceil(PERCENT n / 100) + SHARED of
    each, so only these are listed. First each set is compared with the earliest one that
-   shares one of its two rarest words, and with the one of these made of the most frequent
-   words. What is still there then meets every other set in its lists that passes the
+   shares one of its two rarest words, and with the one made of the most frequent words
+   among those before it. What is still there then meets every other set in its lists that passes the
    length and the positional filter, and a bound on the overlap by 256 bits that the
    words set.
-4. All words of the pairs found are compared.
+4. All words of the pairs found are compared, a set's likeliest pairs first; one that is
+   alike spares the others.
 
 Splitting, hashing and ordering the words is numpy over Arrow batches; all joins and
 aggregations are DataFrame operations. (In DataFrame functions alone the same method
@@ -39,12 +40,12 @@ from .scratch import BROADCAST_ROWS, arrow_rows, discard, materialise, new_path,
 
 PERCENT = 80
 COUNTERS, _PARTS = 1 << 20, 64
-#: Words that the prefixes of two sets alike must share; three, as sets alike and not equal have four words in common at least.
-SHARED = 3
+#: Words that the prefixes of two sets alike must share; up to four would do, as sets alike and not equal have four words in common at least.
+SHARED = 1
 #: Of a word's key, those of its hash; above them stands its counter's logarithm.
 _BITS = 56
 _MAPS = 4
-SLICE = 1 << 22
+SLICE = 1 << 20
 
 
 def _line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +118,7 @@ def _split(places, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator
                     for m in range(_MAPS):
                         bits = np.zeros(len(text), np.uint64)
                         if len(some):
-                            bits[some] = np.bitwise_or.reduceat(np.where(word == m, bit, np.uint64(0)), at[some])
+                            bits[some] = np.bitwise_or.reduceat(bit * (word == m), at[some])
                         columns.append(pa.array(bits.view(np.int64)))
                         names.append(f"bits{m}")
                 yield pa.RecordBatch.from_arrays(columns, names)
@@ -160,7 +161,7 @@ def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two written tables: all lines (doc_id, row, line, n, id), and the lines that stay (doc_id, row, line)."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_rows(spark, 300)
     places = spark.sparkContext.broadcast(word_places(docs, text_col))  # COUNTERS bytes
     found, path = lines(docs, places, False, id_col, text_col), new_path(spark, "listed")
     found.write.parquet(path)
@@ -173,11 +174,12 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # sets of fewer than four words are alike only if they are equal
     able = classes.filter("n >= 4")
     near = able.select("id", "at", "n", "bits", F.element_at("prefix", -1).alias("common"), F.explode(F.slice("prefix", 1, 2)).alias("item"))
-    group = Window.partitionBy("item")
-    near = near.withColumns({"first": F.min(F.struct("at", "id", "n", "bits")).over(group), "usual": F.max(F.struct("common", "at", "id", "n", "bits")).over(group)}).filter("first.id != id")
-    each = F.explode(F.array(F.col("first"), F.struct("usual.at", "usual.id", "usual.n", "usual.bits"))).alias("e")
-    met = near.select("id", "at", "n", "bits", each).filter((F.col("e.at") < F.col("at")) & _can(F.col("n"), F.col("e.n"), [F.col(f"bits.{b}") for b in _BITMAPS], [F.col(f"e.bits.{b}") for b in _BITMAPS]))
-    likely = materialise(met.select(F.col("id").alias("later"), F.col("e.id").alias("earlier")).distinct(), "pairs")
+    before = Window.partitionBy("item").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    near = near.withColumns({"first": F.min(F.struct("at", "id", "n", "bits")).over(before), "usual": F.max(F.struct("common", "at", "id", "n", "bits")).over(before)}).filter("first is not null")
+    own = [F.col(f"bits.{b}") for b in _BITMAPS]
+    fits = [F.when(_can(F.col("n"), F.col(f"{e}.n"), own, [F.col(f"{e}.bits.{b}") for b in _BITMAPS]), F.col(f"{e}.id")) for e in ("first", "usual")]
+    met = near.select(F.col("id").alias("later"), F.explode(F.array_compact(F.array(*fits))).alias("earlier"))
+    likely = materialise(met.distinct(), "pairs")
     gone = materialise(_alike(likely, _sets(docs, places, classes, likely, id_col, text_col)), "gone")
     reclaim(spark)
     # both sides of the join are the same rows, so they are dealt out once; size, place and whether a set is gone stand in one number
@@ -191,14 +193,19 @@ def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     open_still = F.col("x.own").bitwiseAND(F.col("y.own")).bitwiseAND(F.lit(1)) == 0
     pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & possible & open_still & _can(size("x.own"), size("y.own"), [F.col(f"x.{b}") for b in _BITMAPS], [F.col(f"y.{b}") for b in _BITMAPS]))
     pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = materialise(pairs.filter(F.col("k") >= SHARED).select("a", "b"), "pairs")
+    pairs = materialise(pairs.filter(F.col("k") >= SHARED), "pairs")
     reclaim(spark)
     placed = classes.select("id", "at").join(_small(gone.withColumn("gone", F.lit(True))), "id", "left")
     both = pairs.join(placed.toDF("a", "at_a", "gone_a"), "a").join(placed.toDF("b", "at_b", "gone_b"), "b")
     a_later = F.col("at_b") < F.col("at_a")
-    pairs = both.filter(F.when(a_later, F.col("gone_a")).otherwise(F.col("gone_b")).isNull()).select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(a_later, F.col("b")).otherwise(F.col("a")).alias("earlier"))
-    pairs = materialise(pairs, "pairs")
-    gone = gone.unionByName(materialise(_alike(pairs, _sets(docs, places, classes, pairs, id_col, text_col)), "gone"))
+    pairs = both.filter(F.when(a_later, F.col("gone_a")).otherwise(F.col("gone_b")).isNull()).select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(a_later, F.col("b")).otherwise(F.col("a")).alias("earlier"), "k")
+    # the likeliest pairs of each set first: one that is alike spares the set all others
+    turn = F.row_number().over(Window.partitionBy("later").orderBy(F.desc("k"), "earlier"))
+    pairs = materialise(pairs.withColumn("turn", turn), "pairs")
+    sets = _sets(docs, places, classes, pairs, id_col, text_col)
+    likeliest = materialise(_alike(pairs.filter("turn <= 2").select("later", "earlier"), sets), "gone")
+    others = pairs.filter("turn > 2").select("later", "earlier").join(_small(likeliest.withColumnRenamed("id", "later")), "later", "left_anti")
+    gone = gone.unionByName(likeliest).unionByName(materialise(_alike(others, sets), "gone"))
     kept = classes.join(gone, "id", "left_anti").select("at.doc_id", "at.row", "at.line")
     return every, materialise(kept, "kept")
 

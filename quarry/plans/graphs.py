@@ -54,7 +54,7 @@ def _(t: Tables) -> DataFrame:
 @query("gr_07_call_chains", recursive(CHAIN, "w AS (SELECT src AS start, src AS node, [src] AS path, 0 AS depth, false AS over FROM (SELECT DISTINCT src FROM chain WHERE src < 5) UNION ALL SELECT w.start, c.dst, list_append(w.path, c.dst), w.depth + 1, list_contains(w.path, c.dst) FROM w JOIN chain c ON w.node = c.src WHERE w.depth < 4 AND NOT w.over)") + "SELECT start, array_to_string(path, '>') AS path FROM w WHERE over OR depth = 4 OR node NOT IN (SELECT src FROM chain)")
 def _(t: Tables) -> DataFrame:
     e = t.chain()
-    return G.chains(t.spark, e, e.filter("src < 5").select(F.col("src").alias("node")).distinct(), 4)
+    return G.chains(t.spark, e, e.select(F.col("src").alias("node")).distinct(), 4)
 
 
 @query("gr_08_short_cycles", using(CHAIN) + "SELECT a.src || '>' || a.dst AS cycle FROM chain a JOIN chain b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst FROM chain a JOIN chain b ON a.dst = b.src JOIN chain c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst")
@@ -93,12 +93,13 @@ def _(t: Tables) -> DataFrame:
 @query("gr_18_taint_reach", recursive(CHAIN, "r AS (SELECT src AS start, src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM chain WHERE src % 50 = 0) UNION SELECT r.start, c.dst, r.depth + 1 FROM r JOIN chain c ON r.node = c.src WHERE r.depth < 5)") + "SELECT start, node AS sink, min(depth) AS depth FROM r WHERE node % 37 = 0 AND depth > 0 GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     e = G.cut(t.chain())
-    walk = e.filter("src % 50 = 0").select(F.col("src").alias("start"), F.col("src").alias("node"), F.lit(0).alias("depth")).distinct()
+    c = t["customer"].select(F.col("c_custkey").alias("node"), "c_mktsegment", "c_acctbal")
+    walk = c.filter("c_mktsegment = 'BUILDING'").select(F.col("node").alias("start"), "node", F.lit(0).alias("depth")).distinct()
     every = walk
     for _ in range(5):
         walk = G.cut(walk.join(e, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node"), (F.col("depth") + 1).alias("depth")).distinct())
         every = every.union(walk)
-    return every.filter("node % 37 = 0 and depth > 0").groupBy("start", F.col("node").alias("sink")).agg(F.min("depth").alias("depth"))
+    return every.filter("depth > 0").join(c.filter("c_acctbal < 0"), "node", "left_semi").groupBy("start", F.col("node").alias("sink")).agg(F.min("depth").alias("depth"))
 
 
 _TERMS = "terms AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(text), '[^a-z0-9_]+', ' ', 'g')), ' ')) AS term FROM documents) WHERE term <> '' GROUP BY 1, 2)"

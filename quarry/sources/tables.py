@@ -74,8 +74,9 @@ class Tables:
         return self["lineitem"].groupBy(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("value"))
 
     def chain(self) -> DataFrame:
-        """Edges among customers, sparse and with cycles: each customer calls two others."""
+        """Edges among all customers, sparse and with cycles: each customer calls two others. Targets go round at the number of customers, or at 500 where there are fewer."""
         n = self["customer"].select(F.col("c_custkey").alias("k"))
-        one = n.select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % 500).alias("dst"))
-        two = n.select(F.col("k").alias("src"), ((F.col("k") * 13 + 5) % 500).alias("dst"))
-        return one.union(two).filter("src < 500").distinct()
+        size = F.lit(max(500, n.count()))
+        one = n.select(F.col("k").alias("src"), ((F.col("k") * 7 + 3) % size).alias("dst"))
+        two = n.select(F.col("k").alias("src"), ((F.col("k") * 13 + 5) % size).alias("dst"))
+        return one.union(two).distinct()

@@ -46,3 +46,9 @@ def test_taint_from_all_sources_to_all_sinks(spark, larger):
         expected |= {(start, x, d) for x, d in depth.items() if x in sinks}
     got = [(r["start"], r["sink"], r["depth"]) for r in QUERIES["gr_18_taint_reach"](spark, larger).collect()]
     assert len(got) == len(expected) and set(got) == expected
+
+
+def test_every_suffix_is_matched(spark, larger):
+    address = {r["doc_id"]: r["address"] for r in Tables(spark, larger).assets().select("doc_id", "address").collect()}
+    got = {r["k"]: r["address"] for r in QUERIES["join_04_suffix_match"](spark, larger).collect()}
+    assert got == {k: address[k * 3] for k in address if k * 3 in address} and max(got) >= 200

@@ -54,7 +54,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("fn_06_search_text", using(ASSETS) + "SELECT doc_id, concat_ws(' ', address, kind, left(body, 40)) AS searchable FROM assets")
 def _(t: Tables) -> DataFrame:
-    return t.assets().select("doc_id", F.concat_ws(" ", "address", "kind", F.left("body", F.lit(40))).alias("searchable"))
+    return t.assets().select("doc_id", F.concat_ws(" ", "address", "kind", "body").alias("searchable"))
 
 
 @query("fn_08_token_estimate", "SELECT doc_id, CAST(floor(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / 2) + floor((length(text) - length(regexp_replace(text, '[^一-鿿]', '', 'g'))) / 4) AS BIGINT) AS tokens FROM documents")
@@ -127,7 +127,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("fn_35_html_escape", "SELECT page_id, replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def _(t: Tables) -> DataFrame:
-    return t["pages"].select("page_id", T.html_escaped(F.left("html", F.lit(400))).alias("escaped"))
+    return t["pages"].select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
 
 
 @query("fn_36_language", "SELECT page_id, regexp_extract(html, 'lang=\"([a-z]+)\"', 1) AS lang, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")

@@ -52,3 +52,15 @@ def test_every_suffix_is_matched(spark, larger):
     address = {r["doc_id"]: r["address"] for r in Tables(spark, larger).assets().select("doc_id", "address").collect()}
     got = {r["k"]: r["address"] for r in QUERIES["join_04_suffix_match"](spark, larger).collect()}
     assert got == {k: address[k * 3] for k in address if k * 3 in address} and max(got) >= 200
+
+
+def test_whole_pages_are_escaped(spark, larger):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{larger}/pages.parquet").collect()}
+    got = {r["page_id"]: r["escaped"] for r in QUERIES["fn_35_html_escape"](spark, larger).collect()}
+    assert got == {k: v.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;") for k, v in pages.items()}
+
+
+def test_whole_bodies_are_searchable(spark, larger):
+    assets = Tables(spark, larger).assets().select("doc_id", "address", "kind", "body").collect()
+    got = {r["doc_id"]: r["searchable"] for r in QUERIES["fn_06_search_text"](spark, larger).collect()}
+    assert got == {r["doc_id"]: f"{r['address']} {r['kind']} {r['body']}" for r in assets}

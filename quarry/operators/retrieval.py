@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.graph import cut
 
 
 def inverted_index(docs: DataFrame) -> DataFrame:
@@ -14,6 +15,18 @@ def inverted_index(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(terms).alias("term")).filter("term != ''").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
+def ranked(df: DataFrame, name: str, *order: Column | str) -> DataFrame:
+    """All rows with their places from 1 in the whole order, sorted in ranges: no task sees all rows, the driver a count for each range."""
+    rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id()))
+    part, before = F.shiftright(name, 33), 0  # a row's range is in the upper bits of its id, its place there in the lower
+    offsets = []
+    for p, size in sorted(tuple(r) for r in rows.groupBy(part.alias("part")).count().collect()):
+        offsets.append((p, before))
+        before += size
+    shifts = df.sparkSession.createDataFrame(offsets, "part long, before long")
+    return rows.join(F.broadcast(shifts), part == F.col("part")).withColumn(name, F.col(name).bitwiseAND((1 << 33) - 1) + F.col("before") + 1).drop("part", "before")  # a row for each range
+
+
 def text_search(docs: DataFrame, query: str, k: int) -> DataFrame:
     """doc_id, score, rank: documents with all terms, by the sum of their frequencies."""
     terms = sorted(set(query.lower().split()))

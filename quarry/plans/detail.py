@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import names as N
 from quarry.functions import text as T
 from quarry.operators import graph as G
+from quarry.operators import retrieval as S
 from quarry.operators import issues as I
 from quarry.plans.oracle import ASSETS, CHAIN, EDGES, ISSUES, REVIEWED, recursive, using
 from quarry.plans.registry import query
@@ -79,9 +80,9 @@ def _(t: Tables) -> DataFrame:
 
 @query("fn_02_reciprocal_ranks", "SELECT o_orderkey, round(1 / (60 + row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)) + 1 / (60 + row_number() OVER (ORDER BY o_orderkey)), 10) AS score FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 100)")
 def _(t: Tables) -> DataFrame:
-    some = t["orders"].orderBy("o_orderkey").limit(100)  # ranks of a bounded list
-    a, b = F.row_number().over(Window.orderBy(F.desc("o_totalprice"), "o_orderkey")), F.row_number().over(Window.orderBy("o_orderkey"))
-    return some.select("o_orderkey", F.round(T.reciprocal_rank(a, b), 10).alias("score"))
+    by_key = S.ranked(t["orders"].select("o_orderkey", "o_totalprice"), "b", "o_orderkey")
+    both = S.ranked(by_key, "a", F.desc("o_totalprice"), "o_orderkey")
+    return both.select("o_orderkey", F.round(T.reciprocal_rank(F.col("a"), F.col("b")), 10).alias("score"))
 
 
 @query("fn_09_hash_embedding", "SELECT item_id, round(list_sum(list_transform(range(0, 32, 2), lambda i: CAST(('0x' || substr(md5(text), i + 1, 2))::INTEGER AS DOUBLE))), 4) AS total FROM benchmark")

@@ -470,7 +470,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("srt_06_by_confidence", using(REVIEWED) + "SELECT doc_id, confidence FROM reviewed ORDER BY coalesce(confidence, 0) DESC, doc_id LIMIT 40")
 def _(t: Tables) -> DataFrame:
-    return t.reviewed().orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "doc_id").limit(40).select("doc_id", "confidence")
+    return t.reviewed().orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "doc_id").select("doc_id", "confidence")
 
 
 @query("srt_07_top_rules", using(ISSUES) + "SELECT rule_key, count(*) AS n FROM issues GROUP BY 1 ORDER BY n DESC, rule_key LIMIT 10")

@@ -64,3 +64,17 @@ def test_whole_bodies_are_searchable(spark, larger):
     assets = Tables(spark, larger).assets().select("doc_id", "address", "kind", "body").collect()
     got = {r["doc_id"]: r["searchable"] for r in QUERIES["fn_06_search_text"](spark, larger).collect()}
     assert got == {r["doc_id"]: f"{r['address']} {r['kind']} {r['body']}" for r in assets}
+
+
+def test_reciprocal_ranks_of_all_orders(spark, folder):
+    orders = [(r["o_orderkey"], r["o_totalprice"]) for r in spark.read.parquet(f"{folder}/orders.parquet").collect()]
+    a = {k: i for i, (k, _) in enumerate(sorted(orders, key=lambda x: (-x[1], x[0])), 1)}
+    b = {k: i for i, (k, _) in enumerate(sorted(orders), 1)}
+    got = {r["o_orderkey"]: r["score"] for r in QUERIES["fn_02_reciprocal_ranks"](spark, folder).collect()}
+    assert got == {k: pytest.approx(1 / (60 + a[k]) + 1 / (60 + b[k]), abs=1e-9) for k in a} and len(got) > 100
+
+
+def test_all_reviewed_issues_are_sorted(spark, larger):
+    rows = [(r["doc_id"], r["confidence"]) for r in Tables(spark, larger).reviewed().collect()]
+    got = [tuple(r) for r in QUERIES["srt_06_by_confidence"](spark, larger).collect()]
+    assert got == sorted(rows, key=lambda x: (-(x[1] or 0), x[0])) and len(got) > 40

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,17 +37,16 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", F.col("new").alias("label"))
 
 
-def reached(edges: DataFrame, starts: DataFrame, most: int = 1000) -> DataFrame:
-    """node, depth of every node reached from the starts, breadth first."""
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """node, depth of every node reached from the starts, breadth first, until a level reaches none that is new."""
     known = cut(starts.select("node", F.lit(0).alias("depth")).distinct())
     front = known
-    for depth in range(1, most + 1):
+    for depth in count(1):
         near = front.join(edges, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = cut(near.join(known, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return known
         known = cut(known.union(front))
-    return known
 
 
 def chains(spark: SparkSession, edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
@@ -76,6 +77,59 @@ def paths_to(spark: SparkSession, edges: DataFrame, start: int, end: str, most:
       SELECT array_join(path, '>') AS path FROM walk WHERE {end}""")
 
 
+def longest_path(edges: DataFrame, most: int) -> int:
+    """Nodes of the longest simple path from any node: exact where no cycle is, by peeling; else paths of at most `most` nodes are walked, as their number grows exponentially."""
+    e = cut(edges.select("src", "dst").filter("src != dst").distinct())
+    left, links = e, e.count()
+    for rounds in count(1):
+        if links == 0:
+            return rounds
+        inner = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"))
+        if (rest := inner.count()) == links:
+            break
+        left, links = inner, rest
+    walk = e.select(F.col("src").alias("node"), F.array("src").alias("path")).distinct()
+    for size in range(1, most):
+        walk = cut(walk.join(e, F.col("node") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path")))
+        if walk.isEmpty():
+            return size
+    return most
+
+
+def cyclic(edges: DataFrame) -> DataFrame:
+    """node, component of every node on a cycle of any length: the least node of its strongly connected component.
+
+    Links that no cycle can hold are peeled off; each node takes the least node that reaches it as its colour, and what
+    reaches that node within the colour is its component. The rest goes round again, without links between colours."""
+    all_edges = cut(edges.select("src", "dst").distinct())
+    found = all_edges.filter("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left = cut(all_edges.filter("src != dst"))
+    while True:
+        links = left.count()
+        while True:
+            left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            if (rest := left.count()) == links:
+                break
+            links = rest
+        if links == 0:
+            return found.groupBy("node").agg(F.min("component").alias("component"))
+        colours = cut(left.select(F.col("src").alias("node"), F.col("src").alias("colour")).distinct())  # after peeling each node is a source
+        while True:
+            seen = left.join(colours.toDF("src", "near"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("near").alias("near"))
+            step = cut(colours.join(seen, "node").select("node", "colour", F.least("colour", "near").alias("new")))
+            colours = step.select("node", F.col("new").alias("colour"))
+            if step.filter("new != colour").isEmpty():
+                break
+        inside = cut(left.join(colours.toDF("src", "colour"), "src").join(colours.toDF("dst", "other"), "dst").filter("colour = other").select("src", "dst", "colour"))
+        back = inside.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        roots = colours.filter("node = colour").select("node")
+        members = cut(reached(back, roots).join(colours, "node").select("node", F.col("colour").alias("component")))
+        large = members.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = cut(found.union(members.join(large, "component", "left_semi").select("node", "component")))
+        gone = members.select(F.col("node").alias("src"))
+        left = cut(inside.join(gone, "src", "left_anti").join(gone.toDF("dst"), "dst", "left_anti").select("src", "dst"))
+
+
 def short_cycles(edges: DataFrame) -> DataFrame:
     """Cycles of two and three different nodes, each once, from its least node."""
     e = edges.select("src", "dst").filter("src != dst").distinct()

@@ -42,7 +42,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("gr_05_reachable", recursive(CHAIN, "r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT c.dst, r.depth + 1 FROM r JOIN chain c ON r.node = c.src WHERE r.depth < 12)") + "SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return G.reached(t.chain(), t.spark.createDataFrame([(1,)], "node long"), 12)
+    return G.reached(t.chain(), t.spark.createDataFrame([(1,)], "node long"))
 
 
 @query("gr_05_unreachable", recursive(CHAIN, "r AS (SELECT 1::BIGINT AS node UNION SELECT c.dst FROM r JOIN chain c ON r.node = c.src)") + "SELECT DISTINCT src AS node FROM chain WHERE src NOT IN (SELECT node FROM r)")
@@ -62,6 +62,11 @@ def _(t: Tables) -> DataFrame:
     return G.short_cycles(t.chain())
 
 
+@query("gr_08_cycles")
+def _(t: Tables) -> DataFrame:
+    return G.cyclic(t.chain())
+
+
 @query("gr_10_no_outgoing", using(CHAIN) + "SELECT DISTINCT dst AS node FROM chain WHERE dst NOT IN (SELECT src FROM chain)")
 def _(t: Tables) -> DataFrame:
     e = t.chain()

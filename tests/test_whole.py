@@ -1,7 +1,10 @@
 """Queries that once did less than the whole job, against brute force over whole tables."""
 
+import random
+
 import pytest
 
+from quarry.operators import graph as G
 from quarry.plans.catalogue import QUERIES
 from quarry.sources.tables import Tables
 
@@ -78,3 +81,47 @@ def test_all_reviewed_issues_are_sorted(spark, larger):
     rows = [(r["doc_id"], r["confidence"]) for r in Tables(spark, larger).reviewed().collect()]
     got = [tuple(r) for r in QUERIES["srt_06_by_confidence"](spark, larger).collect()]
     assert got == sorted(rows, key=lambda x: (-(x[1] or 0), x[0])) and len(got) > 40
+
+
+def test_a_deep_graph_is_reached_whole(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(1, 31)], "src long, dst long")
+    got = {r["node"]: r["depth"] for r in G.reached(e, spark.createDataFrame([(1,)], "node long")).collect()}
+    assert got == {i: i - 1 for i in range(1, 32)}
+
+
+def test_reachable_has_no_level_bound(spark, larger):
+    after = {}
+    for r in Tables(spark, larger).chain().collect():
+        after.setdefault(r["src"], []).append(r["dst"])
+    depth, front = {1: 0}, [1]
+    while front:
+        front = [x for x in dict.fromkeys(y for node in front for y in after.get(node, ())) if depth.setdefault(x, -1) == -1]
+        level = max(depth.values()) + 1
+        depth |= dict.fromkeys(front, level)
+    got = {r["node"]: r["depth"] for r in QUERIES["gr_05_reachable"](spark, larger).collect()}
+    assert got == depth and max(depth.values()) > 12
+
+
+def test_cycles_of_any_length(spark):
+    draw = random.Random(5)
+    pairs = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 1), (5, 6), (6, 7), (8, 8), (9, 10), (10, 9), (7, 9)] + [(draw.randrange(20, 60), draw.randrange(20, 60)) for _ in range(45)]
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def beyond(node):
+        seen, front = set(), [node]
+        while front:
+            front = [y for x in front for y in after.get(x, ()) if y not in seen and not seen.add(y)]
+        return seen
+
+    reach = {x: beyond(x) for x in {n for p in pairs for n in p}}
+    expected = {x: min(y for y in reach[x] if x in reach[y]) for x in reach if x in reach[x]}
+    got = {r["node"]: r["component"] for r in G.cyclic(spark.createDataFrame(pairs, "src long, dst long")).collect()}
+    assert got == expected and got[4] == 1
+
+
+def test_longest_path_from_any_node(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 10)] + [(3, 3), (2, 20)], "src long, dst long")
+    assert G.longest_path(chain, 7) == 10
+    assert G.longest_path(spark.createDataFrame([(1, 2), (2, 1), (5, 1)], "src long, dst long"), 7) == 3

@@ -7,11 +7,13 @@ all benchmark items are joined with those of every place of every document; at
 each hit the document and the item are laid over one another on that diagonal,
 and the stretch is found that gains most, a point for each equal word against
 MISS for each other one. It counts if it has MATCHED equal words, or all words of
-a shorter item, and SHARE of its words are equal.
+a shorter item, and SHARE of its words are equal. Where it does not count, the
+stretch that does with the most to spare is found instead, if there is any.
 
 The benchmark is taken in blocks of at most BLOCK_BYTES or a single item, each held
 in memory against all documents; documents are never shuffled. Items of fewer
-words than a mask sees match nothing, nor do null or empty texts.
+words than a mask sees match where all their words stand in their order. Null
+and empty texts match nothing, and items without an id are left out.
 """
 
 from __future__ import annotations
@@ -69,9 +71,13 @@ class Items:
         self.names = np.array(names, np.int64)
         self.tables = []
         owner = np.repeat(np.arange(len(names)), np.diff(self.first))
-        for mask in MASKS:
+        size = np.diff(self.first)
+        self.masks = MASKS + tuple(tuple(range(k)) for k in range(1, len(MASKS[0])) if (size == k).any())  # short items as a whole
+        for mask in self.masks:
             h = seeds(self.words, mask)
             at = np.flatnonzero(owner[: len(h)] == owner[mask[-1] :][: len(h)])
+            if len(mask) < len(MASKS[0]):
+                at = at[size[owner[at]] == len(mask)]
             at = at[np.argsort(h[at], kind="stable")]
             near = np.zeros(1 << _BITS, bool)
             near[W.mix(h[at]) & np.uint64((1 << _BITS) - 1)] = True
@@ -81,7 +87,7 @@ class Items:
     def diagonals(self, words: np.ndarray, text: np.ndarray) -> np.ndarray:
         """Rows of text, item, place in the words where the item would begin; distinct."""
         found = []
-        for mask, (known, at, near) in zip(MASKS, self.tables, strict=True):
+        for mask, (known, at, near) in zip(self.masks, self.tables, strict=True):
             h = seeds(words, mask)
             some = np.flatnonzero(near[W.mix(h) & np.uint64((1 << _BITS) - 1)])
             low, high = np.searchsorted(known, h[some]), np.searchsorted(known, h[some], side="right")
@@ -113,6 +119,25 @@ def best_stretch(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return begin, end, total[at, end] - total[at, begin]
 
 
+def counting_stretch(equal: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As best_stretch, of the stretches with `least` equal words of which SHARE are equal the one with the most to spare; no equal words where there is none."""
+    rows, n = equal.shape
+    at, zero = np.arange(rows), np.zeros((rows, 1), np.int64)
+    total = np.concatenate((zero, np.cumsum(equal == 1, axis=1)), axis=1)
+    share = round(1000 * SHARE)  # whole numbers, so that no sum is rounded
+    gain = np.concatenate((zero, np.cumsum(np.where(equal == 1, 1000 - share, np.where(equal == 0, -share, -(10**10))), axis=1)), axis=1)
+    best, begin, end = np.full(rows, -1), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    lowest, since, next_ = np.full(rows, 1 << 61), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    for k in range(1, n + 1):
+        while (open_ := (next_ < k) & (total[at, next_] <= total[:, k] - least)).any():  # begins that leave enough equal words
+            lower = open_ & (gain[at, next_] < lowest)
+            lowest, since = np.where(lower, gain[at, next_], lowest), np.where(lower, next_, since)
+            next_ += open_
+        better = gain[:, k] - lowest > best
+        best, begin, end = np.where(better, gain[:, k] - lowest, best), np.where(better, since, begin), np.where(better, k, end)
+    return begin, end, total[at, end] - total[at, begin]
+
+
 def _matches(items: Items, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """Text, item, first and last word (excluded) in the text, equal words, words of the item: the best stretch of each pair."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -132,7 +157,11 @@ def _matches(items: Items, words: np.ndarray, first: np.ndarray) -> list[tuple[i
         inside = (k < n[:, None]) & (here >= first[t][:, None]) & (here < first[t + 1][:, None])
         equal = np.where(inside, (words[np.where(inside, here, 0)] == items.words[np.where(inside, there, 0)]).astype(np.int8), -1)
         begin, end, same = best_stretch(equal)
-        good = (same >= np.minimum(MATCHED, n)) & (same >= SHARE * (end - begin))
+        least = np.minimum(MATCHED, n)
+        good = (same >= least) & (same >= SHARE * (end - begin))
+        if len(rest := np.flatnonzero(~good & ((equal == 1).sum(axis=1) >= least))):
+            begin[rest], end[rest], same[rest] = counting_stretch(equal[rest], least[rest])
+            good[rest] = same[rest] > 0
         for r in np.flatnonzero(good):
             row = (int(same[r]), -int(place[r] + begin[r] - first[t[r]]), int(place[r] + end[r] - first[t[r]]))
             key = (int(t[r]), int(m[r]))

@@ -56,3 +56,32 @@ def test_benchmark_in_several_blocks(spark, folder, items, monkeypatch):
     whole = sorted(C.find_leaks(docs, items).collect())
     monkeypatch.setattr(C, "BLOCK_BYTES", 2000)
     assert sorted(C.find_leaks(docs, items).collect()) == whole and whole
+
+
+def test_stretches_inside_one_that_fails(spark):
+    words = [f"w{k}" for k in range(48)]
+    copy = [w if k < 10 or 19 <= k < 29 or k >= 38 else f"z{k}" for k, w in enumerate(words)]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    (row,) = C.find_leaks(spark.createDataFrame([(1, " ".join(copy))], "doc_id long, text string"), bench).collect()
+    assert row["n_equal"] >= 10 and row["n_equal"] >= C.SHARE * (row["end_word"] - row["first_word"])
+
+
+def test_a_counting_stretch_is_found_wherever_there_is_one():
+    draw = C.np.random.default_rng(4)
+    for _ in range(60):
+        equal = (draw.random((8, 40)) < draw.uniform(0.2, 0.8)).astype(C.np.int8)
+        equal[0, :5] = -1
+        least = draw.integers(1, 14, 8)
+        begin, end, same = C.counting_stretch(equal, least)
+        for r, row in enumerate(equal):
+            there = any(-1 not in row[i:j] and (row[i:j] == 1).sum() >= max(least[r], C.SHARE * (j - i) - 1e-9) for i in range(40) for j in range(i + 1, 41))
+            assert (same[r] > 0) == there
+            if there:
+                assert same[r] == (row[begin[r] : end[r]] == 1).sum() >= max(least[r], C.SHARE * (end[r] - begin[r]) - 1e-9)
+
+
+def test_items_of_few_words_match_as_a_whole(spark):
+    bench = spark.createDataFrame([(k, " ".join(f"q{i}" for i in range(k))) for k in range(1, 6)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a q0, Q1 q2 b"), (2, "q1 q0 q2"), (3, "q1 q2 q3"), (4, "x q0 q1 q2 q3 q4")], "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"], r["n_equal"]) for r in C.find_leaks(docs, bench).collect()}
+    assert found == {(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1)} | {(4, k, k) for k in range(1, 6)}

@@ -1,14 +1,15 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are cut into chunks of CHUNK bytes that overlap by the width of
-a filter, so the filters see every place of the whole document. Every filter
-is linear in learned embeddings of WIDTH consecutive bytes; rectified, its
+a filter, so the filters pass over the whole document, at every STRIDE-th place.
+Every filter is linear in learned embeddings of WIDTH consecutive bytes; rectified, its
 largest answer in a chunk is kept (max-pooling). The mean and the largest of the
 chunks' answers, and nothing else, give one logit and its probability.
 
 Filters, embeddings and weights are fitted by Adam on the driver, on whole texts
 of at most MOST_DOCS labelled documents and MOST_BYTES bytes, taken in the order
-of the documents' checksums; the bound holds for training alone, scoring covers
+of the documents' checksums; a text that the bytes left cannot hold is passed
+over and takes none of them. The bound holds for training alone, scoring covers
 all documents. Only rows whose crc32(id as text) mod FOLDS is not HELD_OUT are
 learned from. Reruns give the same model. Without labels of both kinds the score
 is the share of label 1 among those there are, or 0.5 without any.
@@ -187,8 +188,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     found = rows.join(F.broadcast(some), "doc_id")  # MOST_DOCS rows
     order = Window.orderBy("crc", "doc_id", "quality", "text")
-    kept = found.withColumn("n", F.row_number().over(order)).withColumn("size", F.sum(F.octet_length("text")).over(order)).filter((F.col("size") <= MOST_BYTES) & (F.col("n") <= 2 * MOST_DOCS))
-    learned = kept.select("quality", "text").collect()  # bounded by MOST_BYTES
+    listed = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * MOST_DOCS)
+    taken, left = [], MOST_BYTES
+    for n, size in sorted(tuple(r) for r in listed.select("n", F.octet_length("text")).collect()):
+        if size <= left:
+            taken, left = [*taken, n], left - size
+    learned = listed.filter(F.col("n").isin(taken)).orderBy("n").select("quality", "text").collect()  # bounded by MOST_BYTES
     return fit([r["text"].encode() for r in learned], np.array([r["quality"] for r in learned], np.float64))
 
 

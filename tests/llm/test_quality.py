@@ -70,3 +70,14 @@ def test_nulls_repeats_and_clashing_names(spark, model):
     assert isinstance(Q.train(docs, labels), float)
     assert Q.train(docs.limit(0), labels.limit(0)) == 0.5
     assert Q.score_documents(docs.limit(0), 0.5).collect() == []
+
+
+def test_a_giant_text_does_not_empty_the_sample(spark, monkeypatch):
+    ids = sorted((i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: zlib.crc32(str(i).encode()))
+    docs = spark.createDataFrame([(i, "g" * 5000 if i == ids[0] else f"text {i}") for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(Q, "MOST_BYTES", 4000)
+    monkeypatch.setattr(Q, "fit", lambda texts, marks: seen.append((texts, list(marks))) or 0.5)
+    Q.train(docs, labels)
+    assert seen == [([f"text {i}".encode() for i in ids[1:]], [float(k % 2) for k in range(1, len(ids))])]

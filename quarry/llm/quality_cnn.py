@@ -193,7 +193,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for n, size in sorted(tuple(r) for r in listed.select("n", F.octet_length("text")).collect()):
         if size <= left:
             taken, left = [*taken, n], left - size
-    learned = listed.filter(F.col("n").isin(taken)).orderBy("n").select("quality", "text").collect()  # bounded by MOST_BYTES
+    wanted = docs.sparkSession.createDataFrame([(n,) for n in taken], "n int")
+    learned = listed.join(F.broadcast(wanted), "n").orderBy("n").select("quality", "text").collect()  # bounded by MOST_BYTES
     return fit([r["text"].encode() for r in learned], np.array([r["quality"] for r in learned], np.float64))
 
 

@@ -7,138 +7,86 @@ are judged on the input, not on what is left. Lines without words stay.
 1. Words are counted over all documents in COUNTERS counters by hash. A word's place
    in the order is its counter, on a logarithmic scale, then its hash: rare words first.
    The order only has to be the same for all lines; the counters are of a fixed number.
-2. Equal sets form one class; all its lines but the first go.
-3. Two sets alike share SHARED words among the first n - ceil(PERCENT n / 100) + SHARED of
-   each, so only these are listed. First each set is compared with the earliest one that
-   shares one of its two rarest words, and with the one made of the most frequent words
-   among those before it. What is still there then meets every other set in its lists that passes the
-   length and the positional filter, and a bound on the overlap by 256 bits that the
-   words set.
-4. All words of the pairs found are compared, a set's likeliest pairs first; one that is
-   alike spares the others.
-
-Splitting, hashing and ordering the words is numpy over Arrow batches; all joins and
-aggregations are DataFrame operations. (In DataFrame functions alone the same method
-costs nearly twice the budget; the README has the figures.)
-
-Words are told apart by 56-bit, sets by 64-bit hashes. Null texts have no lines. Of
-documents with one id, and of null ids, which come first, the order is that in which
-they are read.
+2. Equal sets form one class; all its lines but the first go. Classes are numbered in
+   the order in which they first stand, so of two numbers the smaller is the earlier line's.
+3. Each class meets the earliest one with which it shares two of its LEAD rarest words.
+   The classes that others proved to be like (hubs) then meet all open classes with which
+   they share a word of the prefix.
+4. What is open still meets every earlier class in its lists: two sets alike share a word
+   among the first n - ceil(PERCENT n / 100) + 1 of each, so only these are listed, and a
+   pair must pass the length and the positional filter and a bound on the overlap by the
+   bits that the words set.
+5. After each of the three, all words of the pairs found are compared.
+
+DataFrame functions only, on the driver as on the executors. Words are told apart by
+56-bit, sets by 64-bit hashes.
+
+Defined results: a null text has no lines, an empty one has one line without words. Of
+documents with one id, and of null ids, which come first, the order is that in which they
+are read, and each of such rows has its own result. Ties and repeated rows: the copy that
+comes first stays. An empty table gives no rows. Texts of any length are split as a whole,
+in one row of its document's task. Other columns are not read and may have any name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from itertools import combinations
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import words as W
-from .scratch import BROADCAST_ROWS, arrow_rows, discard, materialise, new_path, only, reclaim
+from .scratch import BROADCAST_ROWS, discard, materialise, new_path, only, reclaim, spare
 
 PERCENT = 80
-COUNTERS, _PARTS = 1 << 20, 64
-#: Words that the prefixes of two sets alike must share; up to four would do, as sets alike and not equal have four words in common at least.
-SHARED = 1
+COUNTERS = 1 << 14
 #: Of a word's key, those of its hash; above them stands its counter's logarithm.
 _BITS = 56
-_MAPS = 4
-SLICE = 1 << 20
-
-
-def _line_offsets(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets of all lines of the texts (each with its line feed), and the text of each line."""
-    begin = np.concatenate((off[:-1], np.flatnonzero(buf == 10) + 1))
-    text = np.concatenate((np.arange(len(off) - 1), np.searchsorted(off, np.flatnonzero(buf == 10), side="right") - 1))
-    order = np.lexsort((begin, text))
-    return np.append(begin[order], len(buf)), text[order]
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(COUNTERS, np.int64)
-    for batch in batches:
-        for _, buf, off in W.slices(batch.column(0), SLICE):
-            s, e, _ = W.spans(buf, off)
-            total += np.bincount((W.span_hash(buf, s, e) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-    parts = total.reshape(_PARTS, -1)
-    yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
-
-
-def _sum(key: tuple, table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c, np.int64) for c in table["counts"].to_pylist())
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def word_places(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """The logarithm of each counter, as a byte."""
-    schema = "part int, counts binary"
-    summed = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_count, schema).groupBy("part").applyInArrow(_sum, schema)
-    total = np.zeros((_PARTS, COUNTERS // _PARTS), np.int64)
-    for r in summed.collect():  # COUNTERS numbers
-        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(np.log2(1 + total.reshape(-1)) * 6, 255).astype(np.uint8)
-
-
-def _split(places, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Columns doc_id, row, text. Emits all lines: their words' keys, all of them or the first only, rare ones first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = places.value.astype(np.uint64) << np.uint64(_BITS)
-        for batch in batches:
-            for i, buf, off in W.slices(batch.column(2), SLICE):
-                given = ~np.asarray(batch.column(2).slice(i, len(off) - 1).is_null())
-                begin, text = _line_offsets(buf, off)
-                s, e, first = W.spans(buf, begin)
-                h = W.span_hash(buf, s, e)
-                key = table[(h & np.uint64(COUNTERS - 1)).astype(np.int64)] | (h >> np.uint64(64 - _BITS))
-                line = np.repeat(np.arange(len(text)), np.diff(first))
-                order = np.argsort(key)
-                order = order[np.argsort(line[order], kind="stable")]
-                key, line = key[order], line[order]
-                new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]))[: len(key)]
-                key, line = key[new], line[new]
-                n = np.bincount(line, minlength=len(text))
-                at = np.concatenate(([0], np.cumsum(n)))
-                with np.errstate(over="ignore"):
-                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(key))))[at]
-                    ids = W.mix(sums[1:] - sums[:-1] + n.astype(np.uint64)).view(np.int64)
-                number = np.arange(len(text)) - np.searchsorted(text, text)
-                columns = [batch.column(0).slice(i, len(off) - 1).take(pa.array(text)), batch.column(1).slice(i, len(off) - 1).take(pa.array(text)), pa.array(number, pa.int32(), mask=~given[text]), pa.array(n, pa.int32()), pa.array(ids)]
-                names = ["doc_id", "row", "line", "n", "id"]
-                listed = n if whole else np.where(n >= 4, n + (-PERCENT * n // 100) + SHARED, 0)
-                place = np.arange(len(key)) - at[line]
-                taken = key[place < listed[line]].view(np.int64)
-                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.minimum(listed, n)))), pa.int32()), pa.array(taken)))
-                names.append("keys" if whole else "prefix")
-                if not whole:
-                    some = np.flatnonzero(n)
-                    bit, word = np.uint64(1) << (key & np.uint64(63)), (key >> np.uint64(6)) & np.uint64(_MAPS - 1)
-                    for m in range(_MAPS):
-                        bits = np.zeros(len(text), np.uint64)
-                        if len(some):
-                            bits[some] = np.bitwise_or.reduceat(bit * (word == m), at[some])
-                        columns.append(pa.array(bits.view(np.int64)))
-                        names.append(f"bits{m}")
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return run
-
-
-_LINE = "doc_id long, row long, line int, n int, id long"
-_BITMAPS = [f"bits{m}" for m in range(_MAPS)]
-
-
-def lines(docs: DataFrame, places, whole: bool, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, row, line, n, id (of the set of words), and keys or prefix and bits; a document without a text has one row, line null."""
+_MAPS = [f"bits{m}" for m in range(4)]
+#: The rarest words of which any two lead to the earliest set that has them too. Sets of fewer words are alike only if they are equal.
+LEAD = 4
+_SEPARATORS = "[ \t\x0b\x0c\r]+"
+
+
+def word_places(docs: DataFrame, text_col: str = "text") -> Column:
+    """An array of COUNTERS constants: the logarithm of each counter."""
+    words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), "[ \t\n\x0b\x0c\r]+")).alias("word")).filter("word != ''")
+    counted = words.select(_counter(F.xxhash64("word")).alias("counter")).groupBy("counter").agg(F.least(F.lit(126), F.floor(F.log2(F.count(F.lit(1)) + 1) * 4)).cast("int").alias("place"))
+    places = ["0"] * COUNTERS
+    for r in counted.collect():  # at most COUNTERS rows
+        places[r["counter"]] = str(r["place"])
+    return F.split(F.lit(",".join(places)), ",").cast("array<tinyint>")
+
+
+def _counter(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(COUNTERS - 1)).cast("int")
+
+
+def raw_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (of its document), line, words (a text); a document without a text has one row, line null."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = f"{_LINE}, keys array<long>" if whole else f"{_LINE}, prefix array<long>, " + ", ".join(f"{b} long" for b in _BITMAPS)
-    return own.mapInArrow(_split(places, whole), schema)
+    return own.select("doc_id", "row", F.posexplode_outer(F.split("text", "\n")).alias("line", "words"))
+
+
+def with_keys(lines: DataFrame, places: Column) -> DataFrame:
+    """In place of the lines' words: keys, those of the distinct words, rare ones first; n, their number; id, of the set."""
+    hashes = F.transform(F.array_remove(F.split("words", _SEPARATORS), ""), lambda w: F.xxhash64(w))
+    keys = F.transform(hashes, lambda h: F.shiftleft(F.get(places, _counter(h)).cast("long"), _BITS).bitwiseOR(F.shiftrightunsigned(h, 64 - _BITS)))
+    own = [c for c in lines.columns if c != "words"]
+    keyed = lines.select(*own, F.coalesce(F.sort_array(F.array_distinct(keys)), F.array().cast("array<long>")).alias("keys"))
+    return keyed.select(*own, "keys", F.size("keys").alias("n"), F.xxhash64("keys").alias("id"))
+
+
+def _listed(n: Column) -> Column:
+    """The length of the prefix of a set of n words."""
+    return (n - F.ceil(n * PERCENT / 100) + 1).cast("int")
+
+
+def _bitmap(m: int) -> Column:
+    return F.expr(f"aggregate(filter(keys, k -> (k & 192) = {m * 64}), 0L, (s, k) -> s | shiftleft(1L, cast(k & 63 as int)))").alias(_MAPS[m])
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """With leave to broadcast if its rows, of a number or two, are counted to be few."""
+    """With leave to broadcast if its rows, of a few numbers, are counted to be few."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
@@ -149,74 +97,90 @@ def _can(n: Column, m: Column, bits: list[Column], other: list[Column]) -> Colum
     return in_reach & ((n + m - differ) * (100 + PERCENT) >= 2 * PERCENT * (n + m))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: later, earlier. The later sets that are alike their earlier ones."""
-    one = sets.select(F.col("id").alias("later"), F.col("keys").alias("a"))
-    two = sets.select(F.col("id").alias("earlier"), F.col("keys").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    met = pairs.join(one, "later").join(two, "earlier")
-    return met.filter(both * 100 >= PERCENT * (F.size("a") + F.size("b") - both)).select(F.col("later").alias("id")).distinct()
+def _named(df: DataFrame, prefix: str) -> DataFrame:
+    return df.toDF(*(f"{prefix}_{c}" for c in df.columns))
+
+
+def _maps(prefix: str) -> list[Column]:
+    return [F.col(f"{prefix}_{b}") for b in _MAPS]
+
+
+class _Corpus:
+    """The classes of a corpus, and the comparison of all words of pairs of them."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str) -> None:
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+        spark = docs.sparkSession
+        self.places = word_places(self.docs)
+        found = with_keys(raw_lines(self.docs), self.places)
+        lead = F.slice("keys", 1, F.greatest(_listed(F.col("n")), F.lit(LEAD)))
+        found, path = found.select("doc_id", "row", "line", "n", "id", F.when(F.col("n") >= LEAD, lead).alias("lead"), *(F.when(F.col("n") >= LEAD, _bitmap(m)).alias(b) for m, b in enumerate(_MAPS))), new_path(spark, "listed")
+        found.write.parquet(path)
+        every = spark.read.schema(found.schema).parquet(path)
+        at = F.struct("doc_id", "row", "line")
+        classes = every.filter("n > 0").groupBy("id").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first(F.struct("lead", *_MAPS)).alias("own"))
+        classes = classes.sort("at").select(F.monotonically_increasing_id().alias("rank"), "id", "at", "n", "own.*")
+        self.classes = materialise(classes, "classes")
+        self.lines = materialise(every.select("doc_id", "row", "line", "n"), "lines")
+        discard(spark, path)
+        reclaim(spark)
+        self.able = self.classes.filter(F.col("n") >= LEAD).select("rank", "n", "lead", *_MAPS)
+
+    def alike(self, pairs: DataFrame) -> DataFrame:
+        """pairs: later, earlier. For each later set that is alike one of its earlier ones: rank, hub (the first of these)."""
+        ranks = pairs.select(F.col("later").alias("rank")).union(pairs.select("earlier")).distinct()
+        wanted = materialise(self.classes.join(_small(ranks), "rank", "left_semi").select("rank", "id", "at.doc_id", "at.line"), "wanted")
+        lines = only(raw_lines(only(self.docs, wanted, ["doc_id"])).drop("row"), wanted, ["doc_id", "line"])
+        place = [F.col("doc_id").eqNullSafe(F.col("w_doc_id")), F.col("line") == F.col("w_line"), F.col("id") == F.col("w_id")]
+        sets = with_keys(lines, self.places).join(_small(_named(wanted, "w")), place).select(F.col("w_rank").alias("rank"), "keys").dropDuplicates(["rank"])
+        sets = materialise(sets, "sets")
+        both = F.size(F.array_intersect("x_keys", "y_keys"))
+        met = pairs.join(_named(sets, "x"), F.col("later") == F.col("x_rank")).join(_named(sets, "y"), F.col("earlier") == F.col("y_rank"))
+        met = met.filter(both * 100 >= PERCENT * (F.size("x_keys") + F.size("y_keys") - both))
+        found = materialise(met.groupBy(F.col("later").alias("rank")).agg(F.min("earlier").alias("hub")), "alike")
+        reclaim(self.docs.sparkSession)
+        return found
+
+    def by_lead(self) -> DataFrame:
+        """Pairs of a set and the earliest with which it shares two of its rarest words."""
+        keys = F.array(*(F.xxhash64(F.get("lead", F.lit(i)), F.get("lead", F.lit(j))) for i, j in combinations(range(LEAD), 2)))
+        keyed = self.able.select("rank", F.explode(keys).alias("key"))
+        first = materialise(keyed.groupBy("key").agg(F.min("rank").alias("earlier"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "earlier"), "first")
+        met = keyed.join(_small(first), "key").filter("earlier < rank").select(F.col("rank").alias("later"), "earlier").distinct()
+        maps = self.able.select("rank", "n", *_MAPS)
+        both = materialise(met, "met").join(_named(maps, "x"), F.col("later") == F.col("x_rank"))
+        both = both.join(_named(maps, "y"), (F.col("earlier") == F.col("y_rank")) & _can(F.col("x_n"), F.col("y_n"), _maps("x"), _maps("y")))
+        return materialise(both.select("later", "earlier"), "pairs")
+
+    def by_list(self, gone: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
+        """Pairs of an open set and an earlier one, of the hubs if they are given, that may be alike; one word of their prefixes is equal."""
+        state = self.able.join(_small(gone.select("rank", F.lit(True).alias("gone"))), "rank", "left")
+        listed = state.select("rank", F.col("gone").isNull().alias("open"), "n", *_MAPS, F.posexplode(F.slice("lead", 1, _listed(F.col("n")))).alias("pos", "item"))
+        # size, place and whether a set is open stand in one number
+        own = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.col("open").cast("long")
+        listed = listed.select("item", "rank", own.alias("own"), *_MAPS)
+        earlier = listed
+        if hubs is not None:
+            listed = listed.filter(F.col("own") % 2 == 1)
+            earlier = _small(materialise(earlier.join(_small(hubs), "rank", "left_semi"), "hubs"))
+        size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
+        need = (size("x_own") + size("y_own")) * PERCENT
+        possible = F.least(size("x_own") - place("x_own"), size("y_own") - place("y_own")) * (100 + PERCENT) >= need
+        is_open = F.col("x_own").bitwiseAND(F.lit(1)) == 1
+        pairs = _named(listed, "x").join(_named(earlier, "y"), (F.col("x_item") == F.col("y_item")) & (F.col("y_rank") < F.col("x_rank")) & is_open & possible & _can(size("x_own"), size("y_own"), _maps("x"), _maps("y")))
+        pairs = materialise(pairs.select(F.col("x_rank").alias("later"), F.col("y_rank").alias("earlier")).distinct(), "pairs")
+        reclaim(self.docs.sparkSession)
+        return pairs
 
 
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Two written tables: all lines (doc_id, row, line, n, id), and the lines that stay (doc_id, row, line)."""
-    spark = docs.sparkSession
-    arrow_rows(spark, 300)
-    places = spark.sparkContext.broadcast(word_places(docs, text_col))  # COUNTERS bytes
-    found, path = lines(docs, places, False, id_col, text_col), new_path(spark, "listed")
-    found.write.parquet(path)
-    every = spark.read.schema(found.schema).parquet(path)
-    classes = every.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"), F.first("n").alias("n"), F.first(F.struct(*_BITMAPS)).alias("bits"), F.first("prefix").alias("prefix"))
-    classes = materialise(classes, "classes")
-    every = materialise(every.select("doc_id", "row", "line", "n", "id"), "lines")
-    discard(spark, path)
-    reclaim(spark)
-    # sets of fewer than four words are alike only if they are equal
-    able = classes.filter("n >= 4")
-    near = able.select("id", "at", "n", "bits", F.element_at("prefix", -1).alias("common"), F.explode(F.slice("prefix", 1, 2)).alias("item"))
-    before = Window.partitionBy("item").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    near = near.withColumns({"first": F.min(F.struct("at", "id", "n", "bits")).over(before), "usual": F.max(F.struct("common", "at", "id", "n", "bits")).over(before)}).filter("first is not null")
-    own = [F.col(f"bits.{b}") for b in _BITMAPS]
-    fits = [F.when(_can(F.col("n"), F.col(f"{e}.n"), own, [F.col(f"{e}.bits.{b}") for b in _BITMAPS]), F.col(f"{e}.id")) for e in ("first", "usual")]
-    met = near.select(F.col("id").alias("later"), F.explode(F.array_compact(F.array(*fits))).alias("earlier"))
-    likely = materialise(met.distinct(), "pairs")
-    gone = materialise(_alike(likely, _sets(docs, places, classes, likely, id_col, text_col)), "gone")
-    reclaim(spark)
-    # both sides of the join are the same rows, so they are dealt out once; size, place and whether a set is gone stand in one number
-    state = able.join(_small(gone.withColumn("gone", F.lit(1))), "id", "left")
-    listed = state.select("id", "bits.*", (F.shiftleft(F.col("n").cast("long"), 32) + F.coalesce("gone", F.lit(0))).alias("own"), F.posexplode("prefix").alias("pos", "item"))
-    listed = listed.select("item", "id", *_BITMAPS, (F.col("own") + F.col("pos") * 2).alias("own"))
-    x, y = listed.alias("x"), listed.alias("y")
-    size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
-    need = (size("x.own") + size("y.own")) * PERCENT
-    possible = (SHARED - 1 + F.least(size("x.own") - place("x.own"), size("y.own") - place("y.own"))) * (100 + PERCENT) >= need
-    open_still = F.col("x.own").bitwiseAND(F.col("y.own")).bitwiseAND(F.lit(1)) == 0
-    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.id") < F.col("y.id")) & possible & open_still & _can(size("x.own"), size("y.own"), [F.col(f"x.{b}") for b in _BITMAPS], [F.col(f"y.{b}") for b in _BITMAPS]))
-    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count(F.lit(1)).alias("k"))
-    pairs = materialise(pairs.filter(F.col("k") >= SHARED), "pairs")
-    reclaim(spark)
-    placed = classes.select("id", "at").join(_small(gone.withColumn("gone", F.lit(True))), "id", "left")
-    both = pairs.join(placed.toDF("a", "at_a", "gone_a"), "a").join(placed.toDF("b", "at_b", "gone_b"), "b")
-    a_later = F.col("at_b") < F.col("at_a")
-    pairs = both.filter(F.when(a_later, F.col("gone_a")).otherwise(F.col("gone_b")).isNull()).select(F.when(a_later, F.col("a")).otherwise(F.col("b")).alias("later"), F.when(a_later, F.col("b")).otherwise(F.col("a")).alias("earlier"), "k")
-    # the likeliest pairs of each set first: one that is alike spares the set all others
-    turn = F.row_number().over(Window.partitionBy("later").orderBy(F.desc("k"), "earlier"))
-    pairs = materialise(pairs.withColumn("turn", turn), "pairs")
-    sets = _sets(docs, places, classes, pairs, id_col, text_col)
-    likeliest = materialise(_alike(pairs.filter("turn <= 2").select("later", "earlier"), sets), "gone")
-    others = pairs.filter("turn > 2").select("later", "earlier").join(_small(likeliest.withColumnRenamed("id", "later")), "later", "left_anti")
-    gone = gone.unionByName(likeliest).unionByName(materialise(_alike(others, sets), "gone"))
-    kept = classes.join(gone, "id", "left_anti").select("at.doc_id", "at.row", "at.line")
-    return every, materialise(kept, "kept")
-
-
-def _sets(docs: DataFrame, places, classes: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The words of all sets in the pairs, from those documents alone in which they first stand."""
-    ids = pairs.select(F.col("later").alias("id")).union(pairs.select("earlier")).distinct()
-    wanted = materialise(classes.join(ids, "id", "left_semi").select("id", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line")), "wanted")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    found = lines(only(own, wanted, ["doc_id"]), places, True, "doc_id", "text")
-    return materialise(only(found.select("doc_id", "line", "id", "keys"), wanted, ["doc_id", "line", "id"]).select("id", "keys").dropDuplicates(["id"]), "sets")
+    """Two written tables: all lines (doc_id, row, line, n), and the lines that stay (doc_id, row, line)."""
+    corpus = _Corpus(docs, id_col, text_col)
+    gone = corpus.alike(corpus.by_lead())
+    gone = gone.unionByName(corpus.alike(corpus.by_list(gone, gone.select(F.col("hub").alias("rank")).distinct())))
+    gone = gone.unionByName(corpus.alike(corpus.by_list(gone)))
+    kept = corpus.classes.join(_small(gone), "rank", "left_anti").select("at.doc_id", "at.row", "at.line")
+    return corpus.lines, materialise(kept, "kept")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +194,8 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def without_lines(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, unique by id, with their removed lines taken out of the text."""
-    gone = removed.select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_gone"))
+    key, gone = spare("gone_id", docs.columns), spare("gone", docs.columns)
     parts = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone_id")), "left").withColumn(text_col, F.when(F.size("_gone") > 0, kept).otherwise(F.col(text_col))).select(*docs.columns)
+    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n")
+    taken = removed.select(F.col("doc_id").alias(key), F.col("removed").alias(gone))
+    return docs.join(taken, F.col(id_col).eqNullSafe(F.col(key)), "left").withColumn(text_col, F.when(F.size(gone) > 0, kept).otherwise(F.col(text_col))).select(*docs.columns)

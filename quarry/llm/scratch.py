@@ -68,6 +68,14 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def spare(name: str, taken: list[str]) -> str:
+    """A column name that none of those taken has, in whatever case."""
+    lower = {c.lower() for c in taken}
+    while (name := f"_{name}").lower() in lower:
+        pass
+    return name
+
+
 #: Rows of keys that may be broadcast: a few numbers each, so some tens of megabytes.
 BROADCAST_ROWS = 500_000
 
@@ -83,7 +91,8 @@ def without(df: DataFrame, keys: DataFrame, by: dict[str, Column]) -> DataFrame:
 
 
 def _match(df: DataFrame, keys: DataFrame, by: dict[str, Column], how: str) -> DataFrame:
-    keys = keys.select(*(F.col(c).alias(f"_key_{c}") for c in by)).distinct()
+    names = {c: spare(f"key_{c}", df.columns) for c in by}
+    keys = keys.select(*(F.col(c).alias(name) for c, name in names.items())).distinct()
     few = keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = [value.eqNullSafe(F.col(f"_key_{c}")) for c, value in by.items()]
+    same = [value.eqNullSafe(F.col(names[c])) for c, value in by.items()]
     return df.join(F.broadcast(keys) if few else keys, reduce(and_, same), how)

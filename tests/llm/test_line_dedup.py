@@ -72,8 +72,35 @@ def test_repeated_unnamed_and_no_documents(spark):
     assert L.dedup_lines(docs.limit(0)).collect() == []
 
 
-def test_lines_of_a_slice():
-    buf, off = L.W.buffers(L.pa.array(["a\n\nb", "", "c\n", "\n"]))
-    begin, text = L._line_offsets(buf, off)
-    assert text.tolist() == [0, 0, 0, 1, 2, 2, 3, 3]
-    assert [bytes(buf[a:b]).strip() for a, b in zip(begin, begin[1:], strict=False)] == [b"a", b"", b"b", b"", b"c", b"", b"", b""]
+def test_lines_of_a_slice(spark):
+    docs = spark.createDataFrame(list(enumerate(["a\n\nb", "", "c\n", "\n", None])), "doc_id long, text string")
+    found = [(r["doc_id"], r["line"], r["words"]) for r in L.raw_lines(docs).orderBy("doc_id", "line").collect()]
+    assert found == [(0, 0, "a"), (0, 1, ""), (0, 2, "b"), (1, 0, ""), (2, 0, "c"), (2, 1, ""), (3, 0, ""), (3, 1, ""), (4, None, None)]
+
+
+def test_variants_that_are_like_the_first_alone(spark):
+    """Half of the variants are unlike one another, so only the hub settles them; the rest is like nothing."""
+    draw = random.Random(4)
+    line = [f"word{i}" for i in range(60)]
+    rows = [(0, " ".join(line))]
+    for i in range(1, 160):
+        edits = set(draw.sample(range(60), 6 if i % 2 else 12))
+        rows.append((i, " ".join(f"new{draw.randrange(10**6)}" if k in edits else w for k, w in enumerate(line))))
+    draw.shuffle(rows)
+    assert decided(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+
+
+def test_very_long_texts_and_lines(spark):
+    draw = random.Random(5)
+    long_line = " ".join(f"w{draw.randrange(20000)}" for _ in range(30000))
+    many = "\n".join(" ".join(f"v{draw.randrange(3000)}" for _ in range(12)) for _ in range(3000))
+    rows = [(1, long_line), (2, long_line + " other"), (3, many), (4, many + "\nlast line of all these here"), (5, "last line of all these here")]
+    assert decided(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+
+
+def test_clashing_names(spark):
+    rows = [(1, "a b c d e\nx", 5, "p", "q", 7, "r"), (2, "a b c d e\ny", 6, "p", "q", 8, "r")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, line long, _gone string, _gone_id string, rank long, _key_doc_id string")
+    left = L.without_lines(docs, L.dedup_lines(docs))
+    assert left.columns == docs.columns
+    assert [tuple(r) for r in left.orderBy("doc_id").collect()] == [rows[0], (2, "y", *rows[1][2:])]

@@ -9,13 +9,15 @@ from __future__ import annotations
 import atexit
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in local tests.
+#: Used only where the session names no spark.checkpoint.dir and runs in one process, as in local tests.
 LOCAL_ROOT = "file:///tmp/checkpoints"
 
 _roots: dict[str, str] = {}
@@ -26,6 +28,8 @@ def shared_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _roots:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _roots[app] = f"{(named or LOCAL_ROOT).rstrip('/')}/quarry-{app}-{uuid.uuid4().hex[:8]}"
         atexit.register(_forget, spark, _roots[app])
     return _roots[app]
@@ -42,6 +46,11 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """With leave to broadcast if its rows, of a few numbers, are counted to be few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -55,11 +64,25 @@ def _forget(spark: SparkSession, root: str) -> None:
         pass
 
 
-def arrow_rows(spark: SparkSession, rows: int) -> int:
-    """Set the rows of an Arrow batch, as long texts make large batches; returns what was set before."""
-    before = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return before
+#: Of an Arrow batch. One value for all operators, so a result does not depend on which query was built last.
+ARROW_BYTES = 16 << 20
+
+
+def arrow_bytes(spark: SparkSession) -> None:
+    """Bound Arrow batches by their bytes, as long texts make large ones."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_BYTES}b")
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Rows of an Arrow batch while this lasts, for results that are written meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def reclaim(spark: SparkSession) -> None:

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_rows, discard, materialise, new_path
+from .scratch import arrow_bytes, arrow_rows, discard, materialise, new_path
 
 BLOCK = 128
 MARK = "|S8BEND|"
@@ -294,13 +294,14 @@ def _packer(path: str, end_id: int, record_ids: int) -> Callable[[Iterator[pa.Re
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", record_ids: int = 1 << 18, records_per_file: int = 32) -> None:
     """Encode every text, append end_id to each and write the ids to `path` in ascending order of id_col.
 
-    Partitions are ranges of ids; file names sort as the ranges do. A task holds
-    one record at a time: about record_ids ids, or one document if it alone has more.
+    Partitions are ranges of ids and, of one id or of null ids, of their texts' hashes; file
+    names sort as the ranges do. A task holds one record at a time: about record_ids ids, or
+    one document if it alone has more.
     """
-    arrow_rows(docs.sparkSession, 500)
+    arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ranged = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    packed = ranged.mapInArrow(_packer(tokenizer, end_id, record_ids), "value binary").select(F.col("value").cast("string"))
+    ranged = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    packed = ranged.select("doc_id", "text").mapInArrow(_packer(tokenizer, end_id, record_ids), "value binary").select(F.col("value").cast("string"))
     packed.write.option("lineSep", MARK).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -319,10 +320,9 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a token store: doc_id, start (ids before it), n_tokens, ids_crc32."""
-    before = arrow_rows(spark, 1)  # a row is a file
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    rows = materialise(files.mapInArrow(_decode, "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token_rows")
-    arrow_rows(spark, before)
+    with arrow_rows(spark, 1):  # a row is a file
+        rows = materialise(files.mapInArrow(_decode, "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token_rows")
     sizes = rows.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sizes.select("part", "piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))

@@ -27,7 +27,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, materialise
+from .scratch import BROADCAST_ROWS, materialise, small
 
 MOST = 3
 #: Relative error at which a source counts as solved, and the most steps.
@@ -83,6 +83,24 @@ def tilts(counts: DataFrame, sources: DataFrame) -> DataFrame:
     return state.drop("low", "high", "off")
 
 
+def _crossed(classes: DataFrame) -> DataFrame:
+    """classes: key, size, part, n, rate. Adds base, the whole part of the rate, and extra: the whole numbers that the running total of
+    the rest crosses along the classes of a source. Totals run inside stretches of like size first, then over the stretches, so a
+    source is never in one task; sums are taken in order, so reruns agree."""
+    stretch = [F.floor(F.log2(F.col("size") + 1) * 64).alias("range"), F.floor(F.col("part") / 1024).alias("block")]
+    rest = F.col("n") * (F.col("rate") - F.floor("rate"))
+    inside = Window.partitionBy("key", "range", "block").orderBy("size", "part")
+    dealt = materialise(classes.select("*", *stretch).withColumn("run", F.sum(rest).over(inside)), "runs")
+    ahead = Window.partitionBy("key").orderBy("range", "block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = dealt.groupBy("key", "range", "block").agg(F.max("run").alias("whole"))
+    before = materialise(whole.select("key", "range", "block", F.coalesce(F.sum("whole").over(ahead), F.lit(0.0)).alias("before")), "before")
+    last = F.coalesce(F.lag("run").over(inside), F.lit(0.0))
+    upto = dealt.withColumn("last", last).join(small(before), ["key", "range", "block"])
+    extra = F.floor(F.col("before") + F.col("run") + 0.5) - F.floor(F.col("before") + F.col("last") + 0.5)
+    # a stretch begins where the one before it ended
+    return upto.withColumns({"base": F.floor("rate"), "extra": extra}).drop("range", "block", "run", "last", "before")
+
+
 def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, key (its source's), size, source_size, target, copies."""
     own = materialise(docs.select(F.col(id_col).cast("long").alias("doc_id"), _key(F.col(source_col)).alias("key"), words_in(F.col(text_col)).alias("size")), "sizes")
@@ -91,13 +109,12 @@ def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: s
     solved = tilts(counts.filter("size > 0"), targets(total, weights))
     rate = F.when(F.col("target") <= 0, 0.0).when(F.col("tilt").isNull(), float(MOST)).otherwise(F.least(F.lit(float(MOST)), F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.lit(2.0)))))
     drawn = F.xxhash64(F.lit("draw"), "doc_id")
-    wide = counts.select("key", "size", F.ceil(F.col("n") / CLASS).alias("parts"))
-    placed = materialise(own.join(wide, ["key", "size"]).withColumn("part", F.pmod(drawn, F.col("parts"))).drop("parts"), "placed")
-    classes = placed.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n")).join(solved, "key").withColumn("rate", rate)
-    part = F.col("rate") - F.floor("rate")
-    along = Window.partitionBy("key").orderBy("size", "part")
-    crossed = F.floor(F.sum(F.col("n") * part).over(along) + 0.5)
-    classes = classes.withColumns({"base": F.floor("rate"), "upto": crossed}).withColumn("extra", F.col("upto") - F.coalesce(F.lag("upto").over(along), F.lit(0)))
+    # only sizes of more than CLASS documents have parts: at most one for CLASS documents
+    wide = counts.filter(F.col("n") > CLASS).select("key", "size", F.ceil(F.col("n") / CLASS).alias("parts"))
+    placed = own.join(small(wide), ["key", "size"], "left").withColumn("part", F.pmod(drawn, F.coalesce("parts", F.lit(1)))).drop("parts")
+    placed = materialise(placed, "placed")
+    classes = placed.groupBy("key", "size", "part").agg(F.count(F.lit(1)).alias("n")).join(small(solved), "key").withColumn("rate", rate)
+    classes = _crossed(materialise(classes, "classes"))
     turn = F.row_number().over(Window.partitionBy("key", "size", "part").orderBy(drawn, "doc_id"))
     copies = F.when(F.col("size") > 0, F.col("base") + (F.col("turn") <= F.col("extra")).cast("long")).otherwise(F.lit(0))
     rounded = placed.withColumn("turn", turn).join(classes.select("key", "size", "part", "source_size", "target", "base", "extra"), ["key", "size", "part"]).select("doc_id", "key", "size", "part", "turn", "source_size", "target", copies.cast("long").alias("copies"))
@@ -105,7 +122,7 @@ def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: s
     short = rounded.groupBy("key").agg((F.round(F.max("target")) - F.sum(F.col("copies") * F.col("size"))).alias("short"))
     open_to = ((F.col("short") > 0) & (F.col("copies") < MOST)) | ((F.col("short") < 0) & (F.col("copies") > 0))
     miss = F.abs(F.col("size") - F.abs("short"))
-    mend = rounded.join(short, "key").filter(open_to & (F.col("size") > 0) & (miss < F.abs("short"))).groupBy("key").agg(F.min_by(F.struct("size", "part", "turn", F.signum("short").cast("long").alias("change")), F.struct(miss, "size", "part", "turn")).alias("m"))
+    mend = rounded.join(small(short), "key").filter(open_to & (F.col("size") > 0) & (miss < F.abs("short"))).groupBy("key").agg(F.min_by(F.struct("size", "part", "turn", F.signum("short").cast("long").alias("change")), F.struct(miss, "size", "part", "turn")).alias("m"))
     mend = mend.select("key", "m.size", "m.part", "m.turn", "m.change")
     return rounded.join(mend, ["key", "size", "part", "turn"], "left").select("doc_id", "key", "size", "source_size", "target", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
 
@@ -113,15 +130,15 @@ def plan_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), id_col: s
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The documents themselves, each as many times as it is taken. Copies are dealt by id, source and size, any of the rows that agree in these."""
     planned = plan_copies(docs, weights)
-    own = ["_mix_id", "_mix_key", "_mix_size"]
-    plan = materialise(planned.select(F.col("doc_id").alias(own[0]), F.col("key").alias(own[1]), F.col("size").alias(own[2]), F.col("copies").alias("_mix_copies")), "copies")
-    rows = docs.select(F.struct(*docs.columns).alias("_mix_row"), F.col("doc_id").cast("long").alias(own[0]), _key(F.col("source")).alias(own[1]), words_in(F.col("text")).alias(own[2]))
+    own = ["mix_id", "mix_key", "mix_size"]  # the document itself is a struct beside these, so no name can clash
+    plan = materialise(planned.select(F.col("doc_id").alias(own[0]), F.col("key").alias(own[1]), F.col("size").alias(own[2]), F.col("copies").alias("mix_copies")), "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), F.col("doc_id").cast("long").alias(own[0]), _key(F.col("source")).alias(own[1]), words_in(F.col("text")).alias(own[2]))
     if not plan.groupBy(*own).count().filter("count > 1").isEmpty():  # rows that agree in all three take turns
         like = Window.partitionBy(*own)
-        plan = plan.withColumn("_mix_turn", F.row_number().over(like.orderBy("_mix_copies")))
-        rows = rows.withColumn("_mix_turn", F.row_number().over(like.orderBy("_mix_row.text")))
-        own = [*own, "_mix_turn"]
-    plan = plan.filter("_mix_copies > 0")
+        plan = plan.withColumn("mix_turn", F.row_number().over(like.orderBy("mix_copies")))
+        rows = rows.withColumn("mix_turn", F.row_number().over(like.orderBy("mix_row.text")))
+        own = [*own, "mix_turn"]
+    plan = plan.filter("mix_copies > 0")
     few = plan.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     taken = rows.join(F.broadcast(plan) if few else plan, reduce(and_, (plan[c].eqNullSafe(rows[c]) for c in own)))
-    return taken.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select("_mix_row.*")
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select("mix_row.*")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_rows, without
+from .scratch import arrow_bytes, without
 from .substring_dedup import SLICE, _keyed
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 7, 8), (0, 1, 4, 6, 9))
@@ -84,22 +84,32 @@ class Items:
             self.tables.append((h[at], at, near))
         self.owner = owner
 
-    def diagonals(self, words: np.ndarray, text: np.ndarray) -> np.ndarray:
-        """Rows of text, item, place in the words where the item would begin; distinct."""
-        found = []
-        for mask, (known, at, near) in zip(self.masks, self.tables, strict=True):
+    def diagonals(self, words: np.ndarray, text: np.ndarray, most: int = 1 << 18) -> Iterator[np.ndarray]:
+        """Rows of text, item, place in the words where the item would begin; distinct in each piece. A piece comes from
+        a stretch of places with about `most` hits, or from one place, which has no more than there are words in the items."""
+        hits = []
+        count = np.zeros(len(words) + 1, np.int64)
+        for mask, (known, _, near) in zip(self.masks, self.tables, strict=True):
             h = seeds(words, mask)
             some = np.flatnonzero(near[W.mix(h) & np.uint64((1 << _BITS) - 1)])
+            some = some[text[some] == text[some + mask[-1]]]
             low, high = np.searchsorted(known, h[some]), np.searchsorted(known, h[some], side="right")
-            size = high - low
-            some, low, size = some[size > 0], low[size > 0], size[size > 0]
-            before = np.concatenate(([0], np.cumsum(size)))
-            place = at[np.arange(before[-1]) + np.repeat(low - before[:-1], size)]
-            here = np.repeat(some, size)
-            here, place = here[text[here] == text[here + mask[-1]]], place[text[here] == text[here + mask[-1]]]
-            item = self.owner[place]
-            found.append(np.stack([text[here], item, here - (place - self.first[item])], axis=1))
-        return np.unique(np.concatenate(found), axis=0)
+            some, low, size = some[high > low], low[high > low], (high - low)[high > low]
+            hits.append((some, low, size))
+            count[some] += size
+        upto = np.cumsum(count)
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(upto, np.arange(most, int(upto[-1]) + most, most)) + 1)))
+        for a, b in zip(cuts, np.append(cuts[1:], len(words)), strict=True):
+            found = []
+            for (some, low, size), (_, at, _) in zip(hits, self.tables, strict=True):
+                i, j = np.searchsorted(some, (a, b))
+                before = np.concatenate(([0], np.cumsum(size[i:j])))
+                place = at[np.arange(before[-1]) + np.repeat(low[i:j] - before[:-1], size[i:j])]
+                here = np.repeat(some[i:j], size[i:j])
+                item = self.owner[place]
+                found.append(np.stack([text[here], item, here - (place - self.first[item])], axis=1))
+            if sum(map(len, found)):
+                yield np.unique(np.concatenate(found), axis=0)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,10 +151,16 @@ def counting_stretch(equal: np.ndarray, least: np.ndarray) -> tuple[np.ndarray,
 def _matches(items: Items, words: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """Text, item, first and last word (excluded) in the text, equal words, words of the item: the best stretch of each pair."""
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
-    at, best = items.diagonals(words, text), {}
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
     size = np.diff(items.first)
-    at = at[np.argsort(size[at[:, 1]], kind="stable")]  # rows of like length are compared together
-    i = 0
+    for at in items.diagonals(words, text):
+        _compare(items, words, first, at[np.argsort(size[at[:, 1]], kind="stable")], best)  # rows of like length are compared together
+    return [(t, int(items.names[m]), -b, e, same, int(size[m])) for (t, m), (same, b, e) in sorted(best.items())]
+
+
+def _compare(items: Items, words: np.ndarray, first: np.ndarray, at: np.ndarray, best: dict[tuple[int, int], tuple[int, int, int]]) -> None:
+    """Lay texts and items over one another on the diagonals; best gets the best stretch of each pair."""
+    size, i = np.diff(items.first), 0
     while i < len(at):
         j = i + 1
         longest = size[at[i, 1]]
@@ -167,7 +183,6 @@ def _matches(items: Items, words: np.ndarray, first: np.ndarray) -> list[tuple[i
             key = (int(t[r]), int(m[r]))
             best[key] = max(best.get(key, row), row)
         i = j
-    return [(t, int(items.names[m]), -b, e, same, int(size[m])) for (t, m), (same, b, e) in sorted(best.items())]
 
 
 def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -189,7 +204,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
     first_word and end_word count the document's words without punctuation-only ones; the longest match of a pair is given."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_bytes(spark)
     items = benchmark.filter("text is not null and item_id is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
     sized = items.withColumn("size", F.octet_length("text"))
     blocks = max(1, -(-(sized.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES))

@@ -25,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_rows
+from .scratch import arrow_bytes, spare
 
 FOLDS, HELD_OUT = 3, 1
 CHUNK, WIDTH, STRIDE, FILTERS, EMBEDDED = 128, 6, 2, 24, 8
@@ -186,15 +186,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marked = labels.filter("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).withColumn("crc", crc)
     some = marked.filter(F.col("crc") % FOLDS != HELD_OUT).distinct().orderBy("crc", "doc_id", "quality").limit(MOST_DOCS)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    found = rows.join(F.broadcast(some), "doc_id")  # MOST_DOCS rows
-    order = Window.orderBy("crc", "doc_id", "quality", "text")
-    listed = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= 2 * MOST_DOCS)
+    found = rows.join(F.broadcast(some), "doc_id").withColumns({"size": F.octet_length("text"), "hash": F.xxhash64("text")})  # MOST_DOCS rows
+    # rows that agree in id, label and text count once, and are brought together before any of them is moved
+    order = ["crc", "doc_id", "quality", "hash", "size"]
+    listed = found.groupBy(*order).agg(F.lit(1)).orderBy(*order).limit(2 * MOST_DOCS).select(*order).collect()
     taken, left = [], MOST_BYTES
-    for n, size in sorted(tuple(r) for r in listed.select("n", F.octet_length("text")).collect()):
-        if size <= left:
-            taken, left = [*taken, n], left - size
-    wanted = docs.sparkSession.createDataFrame([(n,) for n in taken], "n int")
-    learned = listed.join(F.broadcast(wanted), "n").orderBy("n").select("quality", "text").collect()  # bounded by MOST_BYTES
+    for row in listed:
+        if row["size"] <= left:
+            taken, left = [*taken, (row["doc_id"], row["quality"], row["hash"], row["size"])], left - row["size"]
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int, hash long, size int")
+    learned = found.join(F.broadcast(wanted), ["doc_id", "quality", "hash", "size"]).groupBy(*order).agg(F.min("text").alias("text"))
+    learned = learned.orderBy(*order).select("quality", "text").collect()  # bounded by MOST_BYTES
     return fit([r["text"].encode() for r in learned], np.array([r["quality"] for r in learned], np.float64))
 
 
@@ -209,7 +211,7 @@ def _scorer(model: Model | float) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 def score_documents(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, held_out, score, predicted."""
-    arrow_rows(docs.sparkSession, 500)
+    arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = rows.mapInArrow(_scorer(model), "doc_id long, score double")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
@@ -218,9 +220,8 @@ def score_documents(docs: DataFrame, model: Model | float, id_col: str = "doc_id
 
 def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text", least: float = 0.5) -> DataFrame:
     """The documents that score `least` or more, all columns kept."""
-    arrow_rows(docs.sparkSession, 500)
-    spare = next(n for n in (f"_text{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
-    rows = docs.withColumn(spare, F.col(text_col).cast("string"))
+    arrow_bytes(docs.sparkSession)
+    rows = docs.withColumn(spare("text", docs.columns), F.col(text_col).cast("string"))
     out = rows.mapInArrow(_keeper(model, least), docs.schema)
     return out
 

@@ -40,8 +40,8 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import arrow_rows, materialise, only, reclaim, without
-from .substring_dedup import PROBES, SLICE, TEXTS, _batch, _grouped, _keyed, _parts, _PACKED, _row, bucket_count
+from .scratch import arrow_bytes, materialise, only, reclaim, small, spare, without
+from .substring_dedup import PROBES, SLICE, TEXTS, _batch, _grouped, _keyed, _parts, _PACKED, _row, batch_number, bucket_count
 
 SHINGLE, PERCENT = 5, 80
 #: Sizes above this are never light: a set has too many subsets whatever the counts say.
@@ -85,6 +85,7 @@ def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     """Columns doc_id, h1, h2, text. Emits all sets' shingles by bucket, and the documents' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_here = 0
         for batch in batches:
             keys = [batch.column(i) for i in (0, 1, 2)]
             for i, buf, off in _slices(batch.column(3)):
@@ -96,7 +97,8 @@ def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                     sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(W.mix(h + np.uint64(k)))))[begin] for k in (1, 2)]
                     first, second = (W.mix(x[1:] - x[:-1] + size.astype(np.uint64)).view(np.int64) for x in sums)
                 h1, h2 = (k.slice(i, n_texts).to_numpy() for k in keys[1:])
-                number = int(W.mix(np.concatenate((h1, h2)).view(np.uint64) + np.arange(2 * n_texts, dtype=np.uint64)).sum() >> np.uint64(1))
+                number = batch_number(int(W.mix(np.concatenate((h1, h2)).view(np.uint64) + np.arange(2 * n_texts, dtype=np.uint64)).sum()), order_here)
+                order_here += 1
                 names = pa.RecordBatch.from_arrays([keys[0].slice(i, n_texts), pa.array(h1), pa.array(h2), pa.array(first), pa.array(second), pa.array(size, pa.int64())], ["doc_id", "h1", "h2", "s1", "s2", "n"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, names.schema) as out:
@@ -133,7 +135,7 @@ def _gather(key: tuple, table: pa.Table) -> pa.Table:
     alike = _parts(table, TEXTS)
     text = np.frombuffer(alike[0][2], np.uint16)
     back = table.filter(pa.compute.equal(table["kind"], PROBES))
-    replies = dict(zip(back["bucket"].to_pylist(), back["payload"].to_pylist(), strict=True))  # batches of the same texts share a number and their replies
+    replies = dict(zip(back["bucket"].to_pylist(), back["payload"].to_pylist(), strict=True))
     df = np.frombuffer(b"".join(replies[b] for b in sorted(replies)), np.uint8)
     order = np.argsort(text, kind="stable")
     df = df[order]
@@ -293,7 +295,7 @@ def boundary_by_cost(sets: DataFrame) -> int:
 def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, h1, h2 (of its text), n_shingles, component_id, component (names the group; null without words)."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_bytes(spark)
     keyed = _keyed(docs, id_col, text_col)
     buckets = bucket_count(keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     counted = keyed.mapInArrow(_scan(buckets), _PACKED).groupBy("bucket").applyInArrow(_count, _PACKED).select("bucket", "kind", "batch", "payload", "more")
@@ -324,13 +326,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """The documents of which none of their group has a smaller id, all columns kept; those without words all stay."""
     groups = materialise(group_documents(docs, id_col, text_col), "groups")
     at = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")
-    first = groups.filter("component is not null").groupBy("component").agg(F.min(at).alias("first"))
-    others = groups.join(first, "component").filter(~at.eqNullSafe(F.col("first")))
+    # a component may hold a third of all rows: its first row is broadcast where components are few; beyond that both sides are plain shuffles, which AQE splits
+    first = materialise(groups.filter("component is not null").groupBy("component").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k"), "first")
+    others = groups.join(small(first), "component").filter(~at.eqNullSafe(F.col("first")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     by = {"doc_id": F.col(id_col).cast("long"), "h1": F.xxhash64(text), "h2": F.xxhash64(F.lit(1), text)}
     left = without(docs, others.select("doc_id", "h1", "h2"), by)
     again = materialise(groups.filter("component is not null").groupBy("doc_id", "h1", "h2").count().filter("count > 1").drop("count"), "again")
     if again.isEmpty():
         return left
-    once = only(left.withColumns({f"_once_{c}": v for c, v in by.items()}), again.toDF(*(f"_once_{c}" for c in again.columns)), [f"_once_{c}" for c in by]).dropDuplicates([f"_once_{c}" for c in by])
+    names = {c: spare(f"once_{c}", docs.columns) for c in by}
+    keyed = left.withColumns({names[c]: v for c, v in by.items()})
+    once = only(keyed, again.select(*(F.col(c).alias(names[c]) for c in by)), list(names.values())).dropDuplicates(list(names.values()))
     return without(left, again, by).unionByName(once.select(*docs.columns))

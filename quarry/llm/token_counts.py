@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_rows, materialise
+from .scratch import arrow_bytes, materialise, small
 from .token_store import PieceEncoder, encoder_for
 
 WIDEN = 8
@@ -102,10 +102,11 @@ def splice(chunks: DataFrame) -> DataFrame:
 
 
 def count_huge(texts: DataFrame, tokenizer: str, chunk: int, overlap: int) -> DataFrame:
-    """texts: key, text, the key unique to the text. Returns key, n_tokens."""
-    left, done = texts, None
+    """texts: key, text, row; the key is unique to the text, of which one row stands for all. Returns key, n_tokens."""
+    first = materialise(texts.groupBy("key").agg(F.min("row").alias("row")), "first")
+    left, done = texts.join(small(first), ["key", "row"], "left_semi"), None
     while True:
-        dealt = left.mapInArrow(_chunks(chunk, overlap), "key string, k long, n long, at long, part string").repartition(F.col("key"), F.col("k"))
+        dealt = left.select("key", "text").mapInArrow(_chunks(chunk, overlap), "key string, k long, n long, at long, part string").repartition(F.col("key"), F.col("k"))
         schema = "key string, k long, n long, tokens long, left_at array<long>, left_before array<long>, right_at array<long>, right_before array<long>"
         chunks = materialise(dealt.mapInArrow(_encode_chunks(tokenizer, overlap), schema).dropDuplicates(["key", "k"]), "chunks")
         counted = materialise(splice(chunks), "spliced")
@@ -114,7 +115,7 @@ def count_huge(texts: DataFrame, tokenizer: str, chunk: int, overlap: int) -> Da
         missed = counted.filter("n_tokens is null").select("key")
         if missed.isEmpty():
             return done
-        left = texts.join(missed, "key", "left_semi")
+        left = left.join(small(missed), "key", "left_semi")
         chunk, overlap = chunk * WIDEN, overlap * WIDEN
 
 
@@ -122,13 +123,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, whole_bytes
     """Per document: doc_id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
     if chunk < 4 * overlap or overlap < 8 * GUARD:
         raise ValueError("a chunk needs four overlaps and an overlap eight guards")
-    arrow_rows(docs.sparkSession, 500)
+    arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).cast("string").alias("text"))
     cuttable = not tokenizer.endswith(".model") and PieceEncoder(tokenizer).by_piece
     small = rows.filter(F.col("n_bytes") <= whole_bytes) if cuttable else rows
     out = small.mapInArrow(_whole(tokenizer), "doc_id long, n_bytes long, n_tokens long")
     if cuttable:
-        huge = rows.filter(F.col("n_bytes") > whole_bytes).withColumn("key", F.sha2("text", 256))
-        counted = count_huge(huge.select("key", "text"), tokenizer, chunk, overlap)
-        out = out.unionByName(huge.select("doc_id", "n_bytes", "key").join(counted, "key").drop("key"))
+        huge = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.col("n_bytes") > whole_bytes).withColumn("key", F.sha2("text", 256))
+        counted = count_huge(huge.select("key", "text", "row"), tokenizer, chunk, overlap)
+        out = out.unionByName(huge.select("doc_id", "n_bytes", "key").join(small(counted), "key").drop("key"))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -1,8 +1,10 @@
 """Main text of web pages by scoring the element tree.
 
 Every paragraph earns points for its length and its commas and passes them to
-its ancestors, the nearer the more; an element's points are discounted by the
-share of its text that stands in links. The best element is the container of
+its ancestors: all to the parent, a quarter to the next, half as many to each one
+further up; an element's points are discounted by the share of its text that stands
+in links. Points and lengths are passed once, from children to parents, so the work
+grows with the page and not with the depth of its tree. The best element is the container of
 the article; it grows to the article or main element round it, and siblings
 that score like it are kept as well. Elements that are furniture by their kind,
 role or name are left out throughout: menus, page headers, footers, sidebars,
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import arrow_rows
+from .scratch import arrow_bytes
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,12 +49,18 @@ _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "dropped", "named", "own", "links", "points")
+    __slots__ = ("tag", "parent", "children", "dropped", "named", "own", "links", "points", "passed", "inline", "block", "open")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, named: bool):
         self.tag, self.parent, self.dropped, self.named = tag, parent, dropped, named
         self.children: list[Node | str] = []
         self.own, self.links, self.points = 0, 0, 0.0
+        #: Points for those above its parent; the length and commas of its text if it stands in a line.
+        self.passed, self.inline = 0.0, (0, 0)
+        in_line = tag in INLINE and parent is not None
+        self.block = parent.block if in_line else self
+        #: Of a block, how many elements inside it that stand in a line are open, by kind.
+        self.open: dict[str, int] | None = None if in_line else {}
 
 
 def _furniture(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
@@ -79,6 +87,17 @@ def parse(page: str) -> Node:
     """The element tree. Text in raw elements is left out; character references are decoded."""
     root = Node("html", None, False, False)
     at, here, end, holders = 0, root, len(page), 0
+    blocks: dict[str, int] = {}  # open elements that do not stand in a line
+
+    def climb(to: Node) -> Node:
+        nonlocal holders
+        node = here
+        while node is not to:
+            holders -= node.tag in HOLDERS
+            (node.block.open if node.tag in INLINE else blocks)[node.tag] -= 1  # it was counted when it was opened
+            node = node.parent
+        return node
+
     while at < end:
         m = _TOKEN.search(page, at)
         if m is None or m.start() > at:
@@ -92,18 +111,16 @@ def parse(page: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            node = here
-            while node is not None and node.tag != tag:
-                node = None if tag in INLINE and node.tag not in INLINE else node.parent
-            if node is not None and node.parent is not None:
-                while here is not node.parent:
-                    holders -= here.tag in HOLDERS
-                    here = here.parent
+            if (here.block.open if tag in INLINE else blocks).get(tag):
+                node = here
+                while node.tag != tag:
+                    node = node.parent
+                here = climb(node.parent)
             continue
         if tag in ("html", "body") and here is root:
             continue
         closes = CLOSED_BY.get(tag)
-        if tag not in INLINE:
+        if tag not in INLINE and (blocks.get(CLOSED_BY_BLOCK) or closes is not None and any(blocks.get(c) for c in closes)):
             node, found = here, None
             while node is not None and (closes is not None or node.tag in INLINE or node.tag == CLOSED_BY_BLOCK):
                 if node.tag == CLOSED_BY_BLOCK or closes is not None and node.tag in closes:
@@ -112,7 +129,7 @@ def parse(page: str) -> Node:
                     break
                 node = node.parent
             if found is not None:
-                here = found.parent
+                here = climb(found.parent)
         kind, named = _furniture(tag, m[3], holders > 0)
         node = Node(tag, here, kind, named)
         here.children.append(node)
@@ -126,6 +143,8 @@ def parse(page: str) -> Node:
         elif tag not in VOID and not m[3].endswith("/"):
             here = node
             holders += tag in HOLDERS
+            opened = node.block.open if tag in INLINE else blocks
+            opened[tag] = opened.get(tag, 0) + 1
     return root
 
 
@@ -136,7 +155,8 @@ def _score(root: Node, by_name: bool) -> list[Node]:
         node, in_link = stack.pop()
         order.append(node)
         node.own = node.links = 0
-        node.points = 0.0
+        node.points = node.passed = 0.0
+        node.inline = (0, 0)
         for child in node.children:
             if isinstance(child, str):
                 size = len(" ".join(child.split()))
@@ -144,21 +164,21 @@ def _score(root: Node, by_name: bool) -> list[Node]:
                 node.links += size if in_link or node.tag == "a" else 0
             elif not child.dropped and not (by_name and child.named):
                 stack.append((child, in_link or node.tag == "a"))
-    text_of: dict[int, list[str]] = {}
     for node in reversed(order):  # children before parents
-        parts = [c if isinstance(c, str) else " ".join(text_of.pop(id(c), [])) for c in node.children if isinstance(c, str) or c.tag in INLINE]
-        words = " ".join(" ".join(parts).split())
-        if node.tag in INLINE:
-            text_of[id(node)] = [words]
-        elif words:
-            points = 1 + words.count(",") + min(len(words) / 100, 3)
-            up, level = node, 0
-            while up is not None:
-                up.points += points if level < 2 else points / (level * 2)
-                up, level = up.parent, level + 1
-        if node.parent is not None:
-            node.parent.own += node.own
-            node.parent.links += node.links
+        parts = [(len(" ".join(c.split())), c.count(",")) if isinstance(c, str) else c.inline for c in node.children if isinstance(c, str) or c.tag in INLINE]
+        parts = [p for p in parts if p[0]]
+        length, commas = sum(p[0] for p in parts) + len(parts) - 1, sum(p[1] for p in parts)
+        earned = 0.0
+        if parts and node.tag in INLINE:
+            node.inline = (length, commas)
+        elif parts:
+            earned = 1 + commas + min(length / 100, 3)
+        node.points += earned
+        if (up := node.parent) is not None:
+            up.own += node.own
+            up.links += node.links
+            up.points += earned + node.passed
+            up.passed += earned / 4 + node.passed / 2
     return order
 
 
@@ -221,6 +241,6 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """Per page: page_id, url, text, n_chars (code points)."""
-    arrow_rows(pages.sparkSession, 500)
+    arrow_bytes(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     return rows.mapInArrow(_run, "page_id long, url string, text string, n_chars long")

@@ -27,11 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_rows, materialise, reclaim
+from .scratch import arrow_bytes, materialise, reclaim
 
 SLICE = 1 << 23
 _PACKED = "bucket long, kind int, batch long, payload binary, more binary"
@@ -46,6 +47,14 @@ def bucket_count(total_bytes: int) -> int:
     return max(1, round(n if n <= 1024 else math.sqrt(1024 * n)))
 
 
+def batch_number(content: int, order: int) -> int:
+    """Names a batch by its content, its task's partition and its order there, so that equal batches are groups of their own."""
+    task = TaskContext.get()
+    own = np.array([content, ((task.partitionId() if task else 0) << 32) + order], np.uint64)
+    with np.errstate(over="ignore"):
+        return int(W.mix(W.mix(own[:1]) + own[1:])[0] >> np.uint64(1))
+
+
 def _row(bucket: int, kind: int, batch: int, payload: bytes, more: bytes = b"") -> tuple:
     return bucket, kind, batch, payload, more
 
@@ -104,13 +113,15 @@ def _scan(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     size = (window + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_here = 0
         for batch in batches:
             ids, keys = batch.column(0), np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2)], axis=1)
             for i, buf, off in W.slices(batch.column(3), SLICE):
                 n_texts = len(off) - 1
                 own = keys[i : i + n_texts]
                 s, e, f = W.spans(buf, off)
-                number = int(W.mix(own.astype(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * n_texts, dtype=np.uint64)).sum() >> np.uint64(1))
+                number = batch_number(int(W.mix(own.astype(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * n_texts, dtype=np.uint64)).sum()), order_here)
+                order_here += 1
                 sha = b"".join(hashlib.sha256(t).digest() for t in joined(buf, off, s, e, f))
                 names = pa.RecordBatch.from_arrays([ids.slice(i, n_texts), pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(f[:-1]), pa.array(np.diff(f)), pa.array([sha[k : k + 32] for k in range(0, len(sha), 32)], pa.binary())], ["doc_id", "h1", "h2", "first", "n_words", "sha"])
                 home = -1 - number % buckets
@@ -181,7 +192,7 @@ def _probe(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _gather(table: pa.Table) -> tuple[list[pa.Table], np.ndarray]:
-    """Of one batch: its texts, and all positions that came back for it. Batches of the same texts share a number and so their positions."""
+    """Of one batch: its texts, and all positions that came back for it."""
     texts = _parts(table, TEXTS)
     at = [_unplace(m) for _, _, m in texts[:1] + _parts(table, HITS) if m]
     return [pa.ipc.open_stream(t).read_all() for _, t, _ in texts], np.unique(np.concatenate(at or [np.empty(0, np.int64)]))
@@ -234,13 +245,15 @@ def _windows(window: int, buckets: int) -> Callable[[Iterator[pa.RecordBatch]],
     """Columns h1, h2, copies, look, text. Emits the windows to look at, those settled within the batch, and the texts' rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order_here = 0
         for batch in batches:
             keys, copies, look = np.stack([batch.column(i).to_numpy() for i in (0, 1)], axis=1), batch.column(2).to_numpy(), batch.column(3).to_pylist()
             for i, buf, off in W.slices(batch.column(4), SLICE):
                 n_texts = len(off) - 1
                 own = keys[i : i + n_texts]
                 s, e, f = W.spans(buf, off)
-                number = int(W.mix(own.astype(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * n_texts, dtype=np.uint64)).sum() >> np.uint64(1))
+                number = batch_number(int(W.mix(own.astype(np.uint64).reshape(-1) * np.uint64(0x9E3779B97F4A7C15) + np.arange(2 * n_texts, dtype=np.uint64)).sum()), order_here)
+                order_here += 1
                 names = pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(f[:-1]), pa.array(np.diff(f))], ["h1", "h2", "first", "n_words"])
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, names.schema) as out:
@@ -328,7 +341,7 @@ def find_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text
     """Two written tables: per document doc_id, h1, h2, n_words, sha (of all its words); per distinct text with repeats
     h1, h2, rep (a document that has it) and gone, the stretches of words to remove as pairs of 32-bit integers."""
     spark = docs.sparkSession
-    arrow_rows(spark, 1000)
+    arrow_bytes(spark)
     keyed = _keyed(docs, id_col, text_col)
     total = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = bucket_count(total)

@@ -9,14 +9,16 @@ are judged on the input, not on what is left. Lines without words stay.
    The order only has to be the same for all lines; the counters are of a fixed number.
 2. Equal sets form one class; all its lines but the first go. Classes are numbered in
    the order in which they first stand, so of two numbers the smaller is the earlier line's.
-3. Each class meets the earliest one with which it shares two of its LEAD rarest words.
-   The classes that others proved to be like (hubs) then meet all open classes with which
-   they share a word of the prefix.
+3. Each class is compared with the earliest one that has the same two words, for neighbours
+   among its LEAD rarest words. This settles most of a large group of near copies in a number
+   of pairs in proportion to the classes. The classes that others proved to be like (hubs)
+   then meet all open classes in their lists, and settle most of the rest of it.
 4. What is open still meets every earlier class in its lists: two sets alike share a word
-   among the first n - ceil(PERCENT n / 100) + 1 of each, so only these are listed, and a
-   pair must pass the length and the positional filter and a bound on the overlap by the
-   bits that the words set.
-5. After each of the three, all words of the pairs found are compared.
+   among the first n - ceil(PERCENT n / 100) + 1 of each, and in a shorter prefix of the
+   smaller set, so only these are listed, and a pair must pass the length and the positional
+   filter and a bound on the overlap by the bits that the words set. The lists are taken
+   in PASSES parts by word, so that a part of them alone is on the disks at a time.
+5. After each of these all words of the pairs found are compared.
 
 DataFrame functions only, on the driver as on the executors. Words are told apart by
 56-bit, sets by 64-bit hashes.
@@ -30,20 +32,21 @@ in one row of its document's task. Other columns are not read and may have any n
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import BROADCAST_ROWS, discard, materialise, new_path, only, reclaim, spare
+from .scratch import discard, materialise, new_path, only, reclaim, small, spare
 
 PERCENT = 80
 COUNTERS = 1 << 14
 #: Of a word's key, those of its hash; above them stands its counter's logarithm.
 _BITS = 56
-_MAPS = [f"bits{m}" for m in range(4)]
-#: The rarest words of which any two lead to the earliest set that has them too. Sets of fewer words are alike only if they are equal.
-LEAD = 4
+#: Bitmaps of 64 bits, a power of two.
+MAPS = 4
+_MAPS = [f"bits{m}" for m in range(MAPS)]
+#: Sets of fewer words are alike only if they are equal.
+LEAST = 4
+LEAD, PASSES = 5, 3
 _SEPARATORS = "[ \t\x0b\x0c\r]+"
 
 
@@ -82,12 +85,15 @@ def _listed(n: Column) -> Column:
 
 
 def _bitmap(m: int) -> Column:
-    return F.expr(f"aggregate(filter(keys, k -> (k & 192) = {m * 64}), 0L, (s, k) -> s | shiftleft(1L, cast(k & 63 as int)))").alias(_MAPS[m])
+    own = f"filter(keys, k -> (k & {64 * (MAPS - 1)}) = {m * 64})"
+    return F.expr(f"aggregate({own}, 0L, (s, k) -> s | shiftleft(1L, cast(k & 63 as int)))").alias(_MAPS[m])
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """With leave to broadcast if its rows, of a few numbers, are counted to be few."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def _leads() -> Column:
+    """Hashes of every two of a set's rarest words that stand next to one another, or but one, in their order."""
+    word = lambda i: F.get("keys", F.lit(i))
+    near = [(i, i + d) for d in (1, 2) for i in range(LEAD - d)]
+    return F.array_compact(F.array(*(F.when(F.col("n") > j, F.xxhash64(word(i), word(j))) for i, j in near)))
 
 
 def _can(n: Column, m: Column, bits: list[Column], other: list[Column]) -> Column:
@@ -113,26 +119,26 @@ class _Corpus:
         spark = docs.sparkSession
         self.places = word_places(self.docs)
         found = with_keys(raw_lines(self.docs), self.places)
-        lead = F.slice("keys", 1, F.greatest(_listed(F.col("n")), F.lit(LEAD)))
-        found, path = found.select("doc_id", "row", "line", "n", "id", F.when(F.col("n") >= LEAD, lead).alias("lead"), *(F.when(F.col("n") >= LEAD, _bitmap(m)).alias(b) for m, b in enumerate(_MAPS))), new_path(spark, "listed")
+        own = {"prefix": F.slice("keys", 1, _listed(F.col("n"))), "leads": _leads()} | {b: _bitmap(m) for m, b in enumerate(_MAPS)}
+        found, path = found.select("doc_id", "row", "line", "n", "id", *(F.when(F.col("n") >= LEAST, c).alias(name) for name, c in own.items())), new_path(spark, "listed")
         found.write.parquet(path)
         every = spark.read.schema(found.schema).parquet(path)
         at = F.struct("doc_id", "row", "line")
-        classes = every.filter("n > 0").groupBy("id").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first(F.struct("lead", *_MAPS)).alias("own"))
+        classes = every.filter("n > 0").groupBy("id").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first(F.struct("prefix", "leads", *_MAPS)).alias("own"))
         classes = classes.sort("at").select(F.monotonically_increasing_id().alias("rank"), "id", "at", "n", "own.*")
         self.classes = materialise(classes, "classes")
         self.lines = materialise(every.select("doc_id", "row", "line", "n"), "lines")
         discard(spark, path)
         reclaim(spark)
-        self.able = self.classes.filter(F.col("n") >= LEAD).select("rank", "n", "lead", *_MAPS)
+        self.able = self.classes.filter(F.col("n") >= LEAST)
 
     def alike(self, pairs: DataFrame) -> DataFrame:
         """pairs: later, earlier. For each later set that is alike one of its earlier ones: rank, hub (the first of these)."""
         ranks = pairs.select(F.col("later").alias("rank")).union(pairs.select("earlier")).distinct()
-        wanted = materialise(self.classes.join(_small(ranks), "rank", "left_semi").select("rank", "id", "at.doc_id", "at.line"), "wanted")
+        wanted = materialise(self.classes.join(small(ranks), "rank", "left_semi").select("rank", "id", "at.doc_id", "at.line"), "wanted")
         lines = only(raw_lines(only(self.docs, wanted, ["doc_id"])).drop("row"), wanted, ["doc_id", "line"])
         place = [F.col("doc_id").eqNullSafe(F.col("w_doc_id")), F.col("line") == F.col("w_line"), F.col("id") == F.col("w_id")]
-        sets = with_keys(lines, self.places).join(_small(_named(wanted, "w")), place).select(F.col("w_rank").alias("rank"), "keys").dropDuplicates(["rank"])
+        sets = with_keys(lines, self.places).join(small(_named(wanted, "w")), place).select(F.col("w_rank").alias("rank"), "keys").dropDuplicates(["rank"])
         sets = materialise(sets, "sets")
         both = F.size(F.array_intersect("x_keys", "y_keys"))
         met = pairs.join(_named(sets, "x"), F.col("later") == F.col("x_rank")).join(_named(sets, "y"), F.col("earlier") == F.col("y_rank"))
@@ -141,45 +147,48 @@ class _Corpus:
         reclaim(self.docs.sparkSession)
         return found
 
-    def by_lead(self) -> DataFrame:
-        """Pairs of a set and the earliest with which it shares two of its rarest words."""
-        keys = F.array(*(F.xxhash64(F.get("lead", F.lit(i)), F.get("lead", F.lit(j))) for i, j in combinations(range(LEAD), 2)))
-        keyed = self.able.select("rank", F.explode(keys).alias("key"))
+    def by_leads(self) -> DataFrame:
+        """Pairs of a set and the earliest one that has the same two rare words, if their bits allow it."""
+        keyed = self.able.select("rank", F.explode("leads").alias("key"))
         first = materialise(keyed.groupBy("key").agg(F.min("rank").alias("earlier"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("key", "earlier"), "first")
-        met = keyed.join(_small(first), "key").filter("earlier < rank").select(F.col("rank").alias("later"), "earlier").distinct()
-        maps = self.able.select("rank", "n", *_MAPS)
-        both = materialise(met, "met").join(_named(maps, "x"), F.col("later") == F.col("x_rank"))
+        met = keyed.join(small(first), "key").filter("earlier < rank").select(F.col("rank").alias("later"), "earlier").distinct()
+        met, maps = materialise(met, "met"), self.able.select("rank", "n", *_MAPS)
+        reclaim(self.docs.sparkSession)
+        both = met.join(_named(maps, "x"), F.col("later") == F.col("x_rank"))
         both = both.join(_named(maps, "y"), (F.col("earlier") == F.col("y_rank")) & _can(F.col("x_n"), F.col("y_n"), _maps("x"), _maps("y")))
         return materialise(both.select("later", "earlier"), "pairs")
 
     def by_list(self, gone: DataFrame, hubs: DataFrame | None = None) -> DataFrame:
         """Pairs of an open set and an earlier one, of the hubs if they are given, that may be alike; one word of their prefixes is equal."""
-        state = self.able.join(_small(gone.select("rank", F.lit(True).alias("gone"))), "rank", "left")
-        listed = state.select("rank", F.col("gone").isNull().alias("open"), "n", *_MAPS, F.posexplode(F.slice("lead", 1, _listed(F.col("n")))).alias("pos", "item"))
-        # size, place and whether a set is open stand in one number
+        spark, paths = self.docs.sparkSession, new_path(self.docs.sparkSession, "pairs")
+        state = self.able.join(small(gone.select("rank", F.lit(True).alias("gone"))), "rank", "left")
+        listed = state.select("rank", F.col("gone").isNull().alias("open"), "n", *_MAPS, F.posexplode("prefix").alias("pos", "item"))
+        # size, place and whether a set is open stand in one number; words are dealt by 32 bits, as a pair that shares none is refused later
         own = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos") * 2 + F.col("open").cast("long")
-        listed = listed.select("item", "rank", own.alias("own"), *_MAPS)
-        earlier = listed
-        if hubs is not None:
-            listed = listed.filter(F.col("own") % 2 == 1)
-            earlier = _small(materialise(earlier.join(_small(hubs), "rank", "left_semi"), "hubs"))
+        listed = listed.select(F.hash("item").alias("item"), "rank", own.alias("own"), *_MAPS)
+        earlier = listed if hubs is None else materialise(listed.join(small(hubs), "rank", "left_semi"), "hubs")
         size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
-        need = (size("x_own") + size("y_own")) * PERCENT
-        possible = F.least(size("x_own") - place("x_own"), size("y_own") - place("y_own")) * (100 + PERCENT) >= need
+        need = F.ceil((size("x_own") + size("y_own")) * PERCENT / (100 + PERCENT))
+        # the first word that both have: behind it the smaller of what is left of either must do
+        possible = F.least(size("x_own") - place("x_own"), size("y_own") - place("y_own")) >= need
         is_open = F.col("x_own").bitwiseAND(F.lit(1)) == 1
-        pairs = _named(listed, "x").join(_named(earlier, "y"), (F.col("x_item") == F.col("y_item")) & (F.col("y_rank") < F.col("x_rank")) & is_open & possible & _can(size("x_own"), size("y_own"), _maps("x"), _maps("y")))
-        pairs = materialise(pairs.select(F.col("x_rank").alias("later"), F.col("y_rank").alias("earlier")).distinct(), "pairs")
-        reclaim(self.docs.sparkSession)
-        return pairs
+        for k in range(PASSES):
+            part, other = (x.filter(F.pmod("item", F.lit(PASSES)) == k) for x in (listed, earlier))
+            if hubs is not None:
+                part, other = part.filter(F.col("own") % 2 == 1), small(other)
+            pairs = _named(part, "x").join(_named(other, "y"), (F.col("x_item") == F.col("y_item")) & (F.col("y_rank") < F.col("x_rank")) & is_open & possible & _can(size("x_own"), size("y_own"), _maps("x"), _maps("y")))
+            pairs.select(F.col("x_rank").alias("later"), F.col("y_rank").alias("earlier")).distinct().write.mode("append").parquet(paths)
+            reclaim(spark)
+        return materialise(spark.read.parquet(paths).distinct(), "pairs")
 
 
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two written tables: all lines (doc_id, row, line, n), and the lines that stay (doc_id, row, line)."""
     corpus = _Corpus(docs, id_col, text_col)
-    gone = corpus.alike(corpus.by_lead())
+    gone = corpus.alike(corpus.by_leads())
     gone = gone.unionByName(corpus.alike(corpus.by_list(gone, gone.select(F.col("hub").alias("rank")).distinct())))
     gone = gone.unionByName(corpus.alike(corpus.by_list(gone)))
-    kept = corpus.classes.join(_small(gone), "rank", "left_anti").select("at.doc_id", "at.row", "at.line")
+    kept = corpus.classes.join(small(gone), "rank", "left_anti").select("at.doc_id", "at.row", "at.line")
     return corpus.lines, materialise(kept, "kept")
 
 

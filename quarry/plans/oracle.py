@@ -34,8 +34,23 @@ REVIEWED = f"""reviewed AS (SELECT 'src/main/java/' || lang || '/Doc' || doc_id
 
 EDGES = "edges AS (SELECT 's' || l_suppkey AS src, 'p' || l_partkey AS dst, count(*) AS value FROM lineitem GROUP BY 1, 2)"
 
-CHAIN = """chain AS (SELECT DISTINCT * FROM (SELECT c_custkey AS src, (c_custkey * 7 + 3) % 500 AS dst FROM customer
-  UNION ALL SELECT c_custkey, (c_custkey * 13 + 5) % 500 FROM customer) WHERE src < 500)"""
+CHAIN = """chain AS (SELECT DISTINCT c_custkey AS src, unnest([(c_custkey * 7 + 3) % m, (c_custkey * 13 + 5) % m]) AS dst
+  FROM customer, (SELECT greatest(500, count(*)) AS m FROM customer))"""
+
+
+_LAYER = "CASE {0} % 4 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'repository' ELSE 'util' END"
+_NAME = "'org.shop.' || " + _LAYER + " || '.m' || {0} % 5 || '.Part' || ({0})"
+
+#: The types of the code base by their parts.
+JAVA = (
+    "java AS (SELECT p_partkey AS k, CASE p_partkey % 10 WHEN 0 THEN 'INTERFACE' WHEN 1 THEN 'ENUM' ELSE 'CLASS' END AS kind, "
+    + _LAYER.format("p_partkey") + " AS layer, " + _NAME.format("p_partkey") + " AS address, " + _NAME.format("(p_partkey + 1)") + " AS next_address, "
+    "CASE p_partkey % 4 WHEN 0 THEN 'RestController' WHEN 1 THEN 'Service' WHEN 2 THEN 'Repository' ELSE 'Utility' END AS mark, p_name, p_brand, p_size FROM part), "
+    "class AS (SELECT * FROM java WHERE kind = 'CLASS')"
+)
+
+#: The suppliers whose project files can be read.
+FILES = "files AS (SELECT s_suppkey AS k, s_nationkey AS n, s_name AS name, 8000 + s_suppkey % 1000 AS port, s_suppkey % 50 <> 0 AS readable FROM supplier)"
 
 
 def using(*relations: str) -> str:

@@ -35,25 +35,33 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
 
     Dockerfiles are read though they have no suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    path = F.col("path")
-    name = F.lower(F.substring_index(path, "/", -1))
-    wanted = name.startswith("dockerfile")
-    for suffix in READ_SUFFIXES:
-        wanted |= name.endswith(suffix)
-    dropped = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, LEFT_OUT_FOLDERS)))
-    for suffix in LEFT_OUT_SUFFIXES:
-        dropped |= name.endswith(suffix)
-    large = F.col("length") > MOST_BYTES
-    return files.filter(wanted & ~dropped).select(
+    path, error = F.col("path"), size_error(F.col("length"))
+    return files.filter(wanted(path)).select(
         path,
         module_of(path).alias("module"),
         file_format(path).alias("format"),
         F.col("length").alias("bytes"),
-        F.when(~large, F.decode("content", "UTF-8")).alias("content"),
-        F.when(large, F.lit("file too large")).alias("error"),
+        F.when(error.isNull(), F.decode("content", "UTF-8")).alias("content"),
+        error.alias("error"),
     )
 
 
+def wanted(path: Column) -> Column:
+    """Whether a scan reads a file: by its suffix, and no folder or suffix that is left out."""
+    name = F.lower(F.substring_index(path, "/", -1))
+    kept = name.startswith("dockerfile")
+    for suffix in READ_SUFFIXES:
+        kept |= name.endswith(suffix)
+    dropped = F.arrays_overlap(F.split(path, "/"), F.array(*map(F.lit, LEFT_OUT_FOLDERS)))
+    for suffix in LEFT_OUT_SUFFIXES:
+        dropped |= name.endswith(suffix)
+    return kept & ~dropped
+
+
+def size_error(size: Column) -> Column:
+    return F.when(size > MOST_BYTES, "file too large")
+
+
 def module_of(path: Column) -> Column:
     """The folder above src, or the file's own folder."""
     found = F.regexp_extract(path, r"([^/]+)/src/", 1)

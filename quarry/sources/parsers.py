@@ -62,8 +62,8 @@ def pom(df: DataFrame) -> DataFrame:
         dependencies=dependencies(direct),
         managed=dependencies(managed),
         plugins=records(r"(?s)<plugin>.*?</plugin>", _COORDINATES),
-        modules=F.transform(every("<module>([^<]+)</module>"), F.trim),
-        profiles=F.transform(every(r"(?s)<profile>\s*<id>([^<]+)</id>"), F.trim),
+        modules=F.transform(every("<module>([^<]+)</module>"), lambda x: F.trim(x)),
+        profiles=F.transform(every(r"(?s)<profile>\s*<id>([^<]+)</id>"), lambda x: F.trim(x)),
     )
 
 
@@ -114,7 +114,7 @@ def _settings(df: DataFrame, items: Column) -> DataFrame:
 
 def properties(df: DataFrame) -> DataFrame:
     """key=value lines; comments begin with # or !."""
-    own = F.filter(F.transform(F.split(TEXT(), "\n"), F.trim), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("!") & (F.instr(x, "=") > 1))
+    own = F.filter(F.transform(F.split(TEXT(), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#") & ~x.startswith("!") & (F.instr(x, "=") > 1))
     pairs = F.transform(own, lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("key"), F.trim(F.substr(x, F.instr(x, "=") + 1)).alias("value")))
     return _settings(df, _last_of_key(pairs))
 
@@ -147,7 +147,7 @@ def sql_script(df: DataFrame) -> DataFrame:
     head = r"(?i)CREATE\s+TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?(?:`?(\w+)`?\.)?`?(\w+)`?\s*\("
 
     def columns(body: Column) -> Column:
-        parts = F.transform(F.split(body, ","), F.trim)
+        parts = F.transform(F.split(body, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
         parts = F.filter(parts, lambda p: ~p.rlike("^(PRIMARY|KEY|INDEX|UNIQUE|CONSTRAINT|FOREIGN)"))
         return F.filter(F.transform(parts, lambda p: F.regexp_extract(p, r"`?(\w+)`?\s+\w+", 1)), lambda c: c != "")
 
@@ -208,7 +208,7 @@ def markdown(df: DataFrame) -> DataFrame:
     head = r"(?m)^(#{1,6})\s+(.+)$"
     section = r"(?ms)^##\s+([^\n]+)\n?(.*?)(?=^##\s|\z)"
     link = r"\[([^\]]+)\]\(([^)]+)\)"
-    prose = F.filter(F.transform(F.split(TEXT(), "\n\n"), F.trim), lambda p: ~p.startswith("#") & ~p.startswith("```") & ~p.startswith("[") & (F.length(p) > 20))
+    prose = F.filter(F.transform(F.split(TEXT(), "\n\n"), lambda x: F.trim(x)), lambda p: ~p.startswith("#") & ~p.startswith("```") & ~p.startswith("[") & (F.length(p) > 20))
     return _with(
         df,
         headings=F.transform(every(head, 0), lambda x: F.concat(F.lit("H"), F.length(F.regexp_extract(x, head, 1)).cast("string"), F.lit(": "), F.trim(F.regexp_extract(x, head, 2)))),
@@ -235,7 +235,7 @@ def dockerfile(df: DataFrame) -> DataFrame:
         workdir=instruction("WORKDIR"),
         ports=F.flatten(F.transform(every(r"(?im)^EXPOSE\s+(.+)$"), lambda p: F.split(F.trim(p), r"\s+"))),
         env=_last_of_key(pairs),
-        copies=F.transform(every(r"(?im)^(?:COPY|ADD)\s+(.+)$"), F.trim),
+        copies=F.transform(every(r"(?im)^(?:COPY|ADD)\s+(.+)$"), lambda x: F.trim(x)),
         entrypoint=instruction("ENTRYPOINT"),
         cmd=instruction("CMD"),
         jar_path=first(r"(?i)(\S+\.jar)"),
@@ -328,7 +328,7 @@ def comments(df: DataFrame) -> DataFrame:
     return _with(df, style=style, cleaned=clean, summary=summary, params=named(tag), throws=named(thrown), returns=_flat(F.regexp_extract(clean, r"(?s)@return\s+([^@]+)", 1)), notes=notes)
 
 
-PARSERS = {"pom": pom, "properties": properties, "yaml": yaml, "compose": compose, "dockerfile": dockerfile, "logging": logging, "sql": sql_script, "mapper": mapper, "markdown": markdown, "shell": shell}
+PARSERS = {"pom": pom, "properties": properties, "yaml": yaml, "compose": compose, "dockerfile": dockerfile, "logging": logging, "sql": sql_script, "mapper": mapper, "markdown": markdown, "shell": shell, "comment": comments}
 
 
 def parsed(files: DataFrame, kind: str) -> DataFrame:

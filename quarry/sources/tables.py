@@ -11,7 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators import java_source as J
 from quarry.operators import rules as R
+from quarry.sources import code_tables as C
+from quarry.sources import parsers as P
 
 
 class Tables:
@@ -73,6 +76,14 @@ class Tables:
         """Weighted edges supplier to part."""
         return self["lineitem"].groupBy(F.concat(F.lit("s"), "l_suppkey").alias("src"), F.concat(F.lit("p"), "l_partkey").alias("dst")).agg(F.count(F.lit(1)).alias("value"))
 
+    def java(self) -> DataFrame:
+        """All types of the code base that is written out of the parts."""
+        return J.classes(C.java_files(self["part"]))
+
+    def project(self, kind: str) -> DataFrame:
+        """The parsed project files of a kind, one for each supplier."""
+        return P.PARSERS[kind](C.project_files(self["supplier"], kind))
+
     def chain(self) -> DataFrame:
         """Edges among all customers, sparse and with cycles: each customer calls two others. Targets go round at the number of customers, or at 500 where there are fewer."""
         n = self["customer"].select(F.col("c_custkey").alias("k"))

@@ -57,14 +57,15 @@ def shingle_tokens(text: Column) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*STOP_WORDS))
 
 
-def shingles(tokens: Column, n: int) -> Column:
-    """All runs of n tokens, joined by a space; none of a shorter list."""
+def shingle_keys(tokens: Column, n: int) -> Column:
+    """A hash for each run of n tokens, from the hashes of its tokens; none for a shorter list. Each token is hashed once."""
 
     def runs(own: Column) -> Column:
         at = F.when(F.size(own) >= n, F.sequence(F.lit(1), F.size(own) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.array_join(F.slice(own, i, n), " "))
+        return F.transform(at, lambda i: F.xxhash64(F.slice(own, i, n)))
 
-    return F.element_at(F.transform(F.array(tokens), runs), 1)  # the tokens are made once, not for every run
+    hashes = F.transform(tokens, lambda t: F.xxhash64(t))
+    return F.element_at(F.transform(F.array(hashes), runs), 1)  # the hashes are made once, not for every run
 
 
 def without_comments(text: Column) -> Column:

@@ -9,16 +9,15 @@ from quarry.functions import text as T
 
 
 def shingle_rows(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, pos, shingle for every run of `size` tokens."""
-    return docs.select("doc_id", F.posexplode(T.shingles(T.shingle_tokens(F.col("text")), size)).alias("pos", "shingle"))
+    """doc_id, pos, key (64 bits of its words) for every run of `size` tokens."""
+    return docs.select("doc_id", F.posexplode(T.shingle_keys(T.shingle_tokens(F.col("text")), size)).alias("pos", "key"))
 
 
 def reported_duplicates(docs: DataFrame, size: int) -> DataFrame:
     """One report for each document that holds the first place of a repeated shingle: its first such place and how often that occurs.
 
     Shingles are counted, never collected: a very common one is a single row after the map side."""
-    places = shingle_rows(docs, size).select("doc_id", "pos", F.xxhash64("shingle").alias("key"))
-    repeated = places.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at")).filter("n >= 2")
+    repeated = shingle_rows(docs, size).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("at")).filter("n >= 2")
     first = repeated.groupBy("at.doc_id").agg(F.min(F.struct("at.pos", "n")).alias("r"))
     return first.select("doc_id", F.col("r.pos").cast("long").alias("pos"), F.col("r.n").alias("occurrences"))
 

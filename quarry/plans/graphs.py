@@ -40,7 +40,7 @@ def _(t: Tables) -> DataFrame:
     return e.agg(n().alias("edges")).join(c).select((F.col("edges") - F.col("nodes") + 2 * F.col("p")).alias("complexity"))  # two single rows
 
 
-@query("gr_05_reachable", recursive(CHAIN, "r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT c.dst, r.depth + 1 FROM r JOIN chain c ON r.node = c.src WHERE r.depth < 12)") + "SELECT node, min(depth) AS depth FROM r GROUP BY 1")
+@query("gr_05_reachable", recursive(CHAIN, "r AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT c.dst, r.depth + 1 FROM r JOIN chain c ON r.node = c.src WHERE r.depth < (SELECT count(*) FROM customer))") + "SELECT node, min(depth) AS depth FROM r GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return G.reached(t.chain(), t.spark.createDataFrame([(1,)], "node long"))
 
@@ -51,7 +51,7 @@ def _(t: Tables) -> DataFrame:
     return e.select(F.col("src").alias("node")).distinct().join(G.reached(e, t.spark.createDataFrame([(1,)], "node long")), "node", "left_anti")
 
 
-@query("gr_07_call_chains", recursive(CHAIN, "w AS (SELECT src AS start, src AS node, [src] AS path, 0 AS depth, false AS over FROM (SELECT DISTINCT src FROM chain WHERE src < 5) UNION ALL SELECT w.start, c.dst, list_append(w.path, c.dst), w.depth + 1, list_contains(w.path, c.dst) FROM w JOIN chain c ON w.node = c.src WHERE w.depth < 4 AND NOT w.over)") + "SELECT start, array_to_string(path, '>') AS path FROM w WHERE over OR depth = 4 OR node NOT IN (SELECT src FROM chain)")
+@query("gr_07_call_chains", recursive(CHAIN, "w AS (SELECT src AS start, src AS node, [src] AS path, 0 AS depth, false AS over FROM (SELECT DISTINCT src FROM chain) UNION ALL SELECT w.start, c.dst, list_append(w.path, c.dst), w.depth + 1, list_contains(w.path, c.dst) FROM w JOIN chain c ON w.node = c.src WHERE w.depth < 4 AND NOT w.over)") + "SELECT start, array_to_string(path, '>') AS path FROM w WHERE over OR depth = 4 OR node NOT IN (SELECT src FROM chain)")
 def _(t: Tables) -> DataFrame:
     e = t.chain()
     return G.chains(t.spark, e, e.select(F.col("src").alias("node")).distinct(), 4)
@@ -95,7 +95,7 @@ def _(t: Tables) -> DataFrame:
     return G.induced(e, G.degrees(e).orderBy(F.desc("degree"), "node").limit(60)).select("src", "dst", "value")
 
 
-@query("gr_18_taint_reach", recursive(CHAIN, "r AS (SELECT src AS start, src AS node, 0 AS depth FROM (SELECT DISTINCT src FROM chain WHERE src % 50 = 0) UNION SELECT r.start, c.dst, r.depth + 1 FROM r JOIN chain c ON r.node = c.src WHERE r.depth < 5)") + "SELECT start, node AS sink, min(depth) AS depth FROM r WHERE node % 37 = 0 AND depth > 0 GROUP BY 1, 2")
+@query("gr_18_taint_reach", recursive(CHAIN, "r AS (SELECT c_custkey AS start, c_custkey AS node, 0 AS depth FROM customer WHERE c_mktsegment = 'BUILDING' UNION SELECT r.start, c.dst, r.depth + 1 FROM r JOIN chain c ON r.node = c.src WHERE r.depth < 5)") + "SELECT start, node AS sink, min(depth) AS depth FROM r WHERE node IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) AND depth > 0 GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     e = G.cut(t.chain())
     c = t["customer"].select(F.col("c_custkey").alias("node"), "c_mktsegment", "c_acctbal")

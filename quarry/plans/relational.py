@@ -144,7 +144,7 @@ def _(t: Tables) -> DataFrame:
     return t["customer"].filter("c_mktsegment = 'BUILDING'").join(o, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "c_name", "o_orderkey", "o_orderstatus")
 
 
-@query("join_04_suffix_match", using(ASSETS) + ", ns AS (SELECT 'Doc' || (doc_id * 3) AS name, doc_id AS k FROM documents WHERE doc_id < 200) SELECT k, min(address) AS address FROM ns JOIN assets ON address = name OR address LIKE '%.' || name GROUP BY k")
+@query("join_04_suffix_match", using(ASSETS) + ", ns AS (SELECT 'Doc' || (doc_id * 3) AS name, doc_id AS k FROM documents) SELECT k, min(address) AS address FROM ns JOIN assets ON address = name OR address LIKE '%.' || name GROUP BY k")
 def _(t: Tables) -> DataFrame:
     names = t["documents"].select(F.concat(F.lit("Doc"), (F.col("doc_id") * 3).cast("string")).alias("suffix"), F.col("doc_id").alias("k"))
     parts = F.split("address", "[.]")
@@ -468,7 +468,7 @@ def _(t: Tables) -> DataFrame:
     return t.issues().orderBy(T.severity_rank(F.col("severity")), "doc_id", "rule_key").limit(50).select("rule_key", "doc_id")
 
 
-@query("srt_06_by_confidence", using(REVIEWED) + "SELECT doc_id, confidence FROM reviewed ORDER BY coalesce(confidence, 0) DESC, doc_id LIMIT 40")
+@query("srt_06_by_confidence", using(REVIEWED) + "SELECT doc_id, confidence FROM reviewed ORDER BY coalesce(confidence, 0) DESC, doc_id")
 def _(t: Tables) -> DataFrame:
     return t.reviewed().orderBy(F.desc(F.coalesce("confidence", F.lit(0.0))), "doc_id").select("doc_id", "confidence")
 
@@ -530,11 +530,11 @@ def _(t: Tables) -> DataFrame:
     return t["events"].select("event_id", F.coalesce(F.get_json_object("props", "$.k").cast("long"), F.get_json_object("props", "$.key").cast("long"), F.lit(-1).cast("long")).alias("k"))
 
 
-@query("snk_02_sarif_rules", using(ISSUES) + "SELECT rule_key, min(message) AS text, CASE min(severity) WHEN 'CRITICAL' THEN 'error' WHEN 'MAJOR' THEN 'warning' WHEN 'MINOR' THEN 'note' ELSE 'none' END AS level, count(*) AS results FROM issues GROUP BY 1")
+@query("snk_02_sarif_rules", using(ISSUES) + "SELECT rule_key, arg_min(message, doc_id) AS text, CASE arg_min(severity, doc_id) WHEN 'CRITICAL' THEN 'error' WHEN 'MAJOR' THEN 'warning' WHEN 'MINOR' THEN 'note' ELSE 'none' END AS level, count(*) AS results FROM issues GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    s = F.min("severity")
+    s = F.min_by("severity", "doc_id")  # the first issue of a rule says its text and level
     level = F.when(s == "CRITICAL", "error").when(s == "MAJOR", "warning").when(s == "MINOR", "note").otherwise("none")
-    return t.issues().groupBy("rule_key").agg(F.min("message").alias("text"), level.alias("level"), n().alias("results"))
+    return t.issues().groupBy("rule_key").agg(F.min_by("message", "doc_id").alias("text"), level.alias("level"), n().alias("results"))
 
 
 @query("snk_05_dot", "SELECT n_regionkey, string_agg('\"r' || n_regionkey || '\" -> \"' || n_name || '\";', ' ' ORDER BY n_name) AS dot FROM nation GROUP BY 1")

@@ -52,7 +52,7 @@ def _(t: Tables) -> DataFrame:
     return t["benchmark"].select("item_id", T.query_terms(F.col("text")).alias("q"))
 
 
-@query("fn_06_search_text", using(ASSETS) + "SELECT doc_id, concat_ws(' ', address, kind, left(body, 40)) AS searchable FROM assets")
+@query("fn_06_search_text", using(ASSETS) + "SELECT doc_id, concat_ws(' ', address, kind, body) AS searchable FROM assets")
 def _(t: Tables) -> DataFrame:
     return t.assets().select("doc_id", F.concat_ws(" ", "address", "kind", "body").alias("searchable"))
 
@@ -125,7 +125,7 @@ def _(t: Tables) -> DataFrame:
     return t["documents"].groupBy("source").agg(T.trend(F.count_if(F.col("doc_id") % 2 == 0), F.count_if(F.col("doc_id") % 2 == 1)).alias("trend"))
 
 
-@query("fn_35_html_escape", "SELECT page_id, replace(replace(replace(replace(left(html, 400), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
+@query("fn_35_html_escape", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') AS escaped FROM pages")
 def _(t: Tables) -> DataFrame:
     return t["pages"].select("page_id", T.html_escaped(F.col("html")).alias("escaped"))
 
@@ -145,15 +145,15 @@ def _(t: Tables) -> DataFrame:
     return t["lineitem"].select("l_orderkey", "l_linenumber", T.round_half_up(F.col("l_extendedprice") * F.col("l_discount"), 1).alias("rounded"))
 
 
-_SHINGLES = f"toks AS (SELECT doc_id, {_TOKENS} AS w FROM documents), sh AS (SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 9), ' ') AS shingle FROM toks, range(1, 20000) AS r(i) WHERE i + 9 <= len(w))"
+_SHINGLES = f"toks AS (SELECT doc_id, {_TOKENS} AS w FROM documents), sh AS (SELECT doc_id, i - 1 AS pos, array_to_string(list_slice(w, i, i + 9), ' ') AS shingle FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 8, 1))) AS i FROM toks))"
 
 
 @query("win_05_shingles", using(_SHINGLES) + "SELECT doc_id, count(*) AS n, count(DISTINCT shingle) AS different FROM sh GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    return D.shingle_rows(t["documents"], 10).groupBy("doc_id").agg(n().alias("n"), F.countDistinct("shingle").alias("different"))
+    return D.shingle_rows(t["documents"], 10).groupBy("doc_id").agg(n().alias("n"), F.countDistinct("key").alias("different"))
 
 
-@query("rul_07_duplicates", using(_SHINGLES) + ", c AS (SELECT shingle, count(*) AS n, min(doc_id * 100000 + pos) AS place FROM sh GROUP BY 1 HAVING count(*) >= 2) SELECT place // 100000 AS doc_id, min(place % 100000) AS pos, arg_min(n, place) AS occurrences FROM c GROUP BY 1")
+@query("rul_07_duplicates", using(_SHINGLES) + ", c AS (SELECT shingle, count(*) AS n, min({'d': doc_id, 'p': pos}) AS place FROM sh GROUP BY 1 HAVING count(*) >= 2) SELECT place.d AS doc_id, min(place.p) AS pos, arg_min(n, place.p) AS occurrences FROM c GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return D.reported_duplicates(t["documents"], 10)
 

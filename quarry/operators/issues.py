@@ -55,6 +55,13 @@ def not_suppressed(issues: DataFrame, baseline: DataFrame) -> DataFrame:
     return issues.withColumn("key", key).join(baseline.select("key"), "key", "left_anti")
 
 
+def delta(issues: DataFrame, current: Column, baseline: Column) -> DataFrame:
+    """key, rule_key, change of the keys that are new (current and not in the baseline) or fixed (the other way): both anti joins as one aggregation, so the issues are read once."""
+    key = T.issue_key(F.col("rule_key"), F.col("class_name"), F.col("method"), F.col("message"))
+    seen = issues.groupBy(key.alias("key"), "rule_key").agg(F.bool_or(current).alias("now"), F.bool_or(baseline).alias("before"))
+    return seen.filter("now != before").select("key", "rule_key", F.when(F.col("now"), "new").otherwise("fixed").alias("change"))
+
+
 def minutes(severity: Column) -> Column:
     out = F.lit(None).cast("int")
     for name, value in MINUTES.items():

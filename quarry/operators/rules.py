@@ -23,8 +23,9 @@ class Rule:
     holds: Callable[[], Column]
 
 
-def _matches(pattern: str, column: str = "text") -> Callable[[], Column]:
-    return lambda: F.col(column).rlike(pattern)
+def _matches(pattern: str, held: str = "", column: str = "text") -> Callable[[], Column]:
+    """Whether the pattern matches; `held` is a plain part of all that does, looked for first as that is cheap."""
+    return lambda: F.col(column).contains(held) & F.col(column).rlike(pattern) if held else F.col(column).rlike(pattern)
 
 
 def _has(every: Iterable[str] = (), none: Iterable[str] = (), some: Iterable[str] = (), column: str = "body") -> Callable[[], Column]:
@@ -50,11 +51,11 @@ def _has(every: Iterable[str] = (), none: Iterable[str] = (), some: Iterable[str
 #: Rules over prose documents.
 DOCUMENT_RULES = (
     Rule("DOC-LONG", "MAJOR", "CODE_SMELL", "Text is long", lambda: F.col("n_chars") > 5000),
-    Rule("DOC-SHOUT", "CRITICAL", "BUG", "Text shouts", _matches("[A-Z]{6,}!!")),
-    Rule("DOC-SECRET", "CRITICAL", "SECURITY", "Text holds a secret", _matches('(token|password|secret|api_key) = "')),
-    Rule("DOC-EMAIL", "MAJOR", "SECURITY", "Text holds a mail address", _matches("[a-z0-9.]+@[a-z0-9]+[.][a-z]+")),
-    Rule("DOC-LICENSE", "INFO", "DESIGN", "Text holds a licence line", _matches("[Ll]icensed under")),
-    Rule("DOC-TABLE", "MINOR", "CODE_SMELL", "Text is a table", _matches(" [|] [^|]+ [|] ")),
+    Rule("DOC-SHOUT", "CRITICAL", "BUG", "Text shouts", _matches("[A-Z]{6,}!!", "!!")),
+    Rule("DOC-SECRET", "CRITICAL", "SECURITY", "Text holds a secret", _matches('(token|password|secret|api_key) = "', ' = "')),
+    Rule("DOC-EMAIL", "MAJOR", "SECURITY", "Text holds a mail address", _matches("[a-z0-9.]+@[a-z0-9]+[.][a-z]+", "@")),
+    Rule("DOC-LICENSE", "INFO", "DESIGN", "Text holds a licence line", _matches("[Ll]icensed under", "icensed under")),
+    Rule("DOC-TABLE", "MINOR", "CODE_SMELL", "Text is a table", _matches(" [|] [^|]+ [|] ", " | ")),
     Rule("DOC-SHORT", "MINOR", "CODE_SMELL", "Text is short", lambda: F.col("n_chars") < 200),
     Rule("DOC-NUMBER", "MINOR", "PERFORMANCE", "Text holds a long number", _matches("[0-9]{12,}")),
 )

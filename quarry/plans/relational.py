@@ -182,11 +182,8 @@ def _(t: Tables) -> DataFrame:
 
 @query("join_14_delta", using(ISSUES) + f", cur AS (SELECT DISTINCT {_KEY} AS key, rule_key FROM issues WHERE doc_id % 4 <> 0), old AS (SELECT DISTINCT {_KEY} AS key, rule_key FROM issues WHERE doc_id % 5 <> 0) SELECT 'new' AS change, rule_key, count(*) AS n FROM cur WHERE key NOT IN (SELECT key FROM old) GROUP BY 2 UNION ALL SELECT 'fixed', rule_key, count(*) FROM old WHERE key NOT IN (SELECT key FROM cur) GROUP BY 2")
 def _(t: Tables) -> DataFrame:
-    key = T.issue_key(F.col("rule_key"), F.col("class_name"), F.col("method"), F.col("message")).alias("key")
-    cur = t.issues().filter("doc_id % 4 != 0").select(key, "rule_key").distinct()
-    old = t.issues().filter("doc_id % 5 != 0").select(key, "rule_key").distinct()
-    new, fixed = cur.join(old, "key", "left_anti"), old.join(cur, "key", "left_anti")
-    return new.select(F.lit("new").alias("change"), "rule_key").union(fixed.select(F.lit("fixed"), "rule_key")).groupBy("change", "rule_key").agg(n().alias("n"))
+    changed = I.delta(t.issues(), F.col("doc_id") % 4 != 0, F.col("doc_id") % 5 != 0)
+    return changed.groupBy("change", "rule_key").agg(n().alias("n"))
 
 
 @query("join_15_changed_files", "SELECT d.doc_id, CASE WHEN c.hash IS NULL THEN 'added' ELSE 'changed' END AS change FROM (SELECT doc_id, sha256(text) AS hash FROM documents) d LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN sha256(text || 'x') ELSE sha256(text) END AS hash FROM documents WHERE doc_id % 10 <> 0) c ON d.doc_id = c.doc_id WHERE c.hash IS NULL OR c.hash <> d.hash")

@@ -13,6 +13,9 @@ round with chunks and overlaps WIDEN times as long, at last as one chunk.
 
 Null and empty texts have no bytes and no tokens. Rows that agree in id and
 text give equal counts, each in a row of its own.
+
+Defined results: an empty table gives no rows. Copies of a huge text are encoded once.
+Other columns are not read and may have any name.
 """
 
 from __future__ import annotations
@@ -126,8 +129,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, whole_bytes
     arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(F.coalesce(text_col, F.lit(""))).cast("long").alias("n_bytes"), F.col(text_col).cast("string").alias("text"))
     cuttable = not tokenizer.endswith(".model") and PieceEncoder(tokenizer).by_piece
-    small = rows.filter(F.col("n_bytes") <= whole_bytes) if cuttable else rows
-    out = small.mapInArrow(_whole(tokenizer), "doc_id long, n_bytes long, n_tokens long")
+    short = rows.filter(F.col("n_bytes") <= whole_bytes) if cuttable else rows
+    out = short.mapInArrow(_whole(tokenizer), "doc_id long, n_bytes long, n_tokens long")
     if cuttable:
         huge = rows.withColumn("row", F.monotonically_increasing_id()).filter(F.col("n_bytes") > whole_bytes).withColumn("key", F.sha2("text", 256))
         counted = count_huge(huge.select("key", "text", "row"), tokenizer, chunk, overlap)

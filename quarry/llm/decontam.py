@@ -14,6 +14,11 @@ The benchmark is taken in blocks of at most BLOCK_BYTES or a single item, each h
 in memory against all documents; documents are never shuffled. Items of fewer
 words than a mask sees match where all their words stand in their order. Null
 and empty texts match nothing, and items without an id are left out.
+
+Defined results: repeated rows each have their own result, of the same text the same one.
+An empty table of documents, or an empty benchmark, finds nothing. Texts of any length are
+compared whole, in pieces of hits. Other columns are not read and may have any name;
+`drop_leaking` passes them through.
 """
 
 from __future__ import annotations

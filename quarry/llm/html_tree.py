@@ -12,6 +12,10 @@ notices, adverts, forms, scripts, styles and readers' comments.
 
 A page that is null, empty or without text gives an empty text. Markup may be
 broken: what is not closed ends where its surroundings do.
+
+Defined results: repeated rows each have their own result; an empty table gives no rows.
+Pages of any length and depth are read whole. Other columns are not read and may have any
+name.
 """
 
 from __future__ import annotations

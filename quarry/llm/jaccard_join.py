@@ -25,6 +25,10 @@ cost nothing. Two sets link when 100 * |A and B| >= PERCENT * |A or B|.
 Shingles and sets are told apart by 64-bit hashes. Null texts count as empty.
 Documents that share an id are classed by their texts; component_id is the
 least id reached (a null id counts as larger than all others).
+
+Defined results: an empty table gives no rows. Texts of any length are read whole; one
+alone may be a batch. Other columns are not read and may have any name; `keep_one` passes
+them through, and keeps one of the rows that agree in id and text.
 """
 
 from __future__ import annotations

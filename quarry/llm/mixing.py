@@ -17,6 +17,9 @@ closest, where that helps. Reruns agree.
 Null texts have no words. A null source is a source of its own, the last one.
 Documents without words take nothing. Rows that agree in id, source and size are
 interchangeable. Extra columns are passed through by `mix_documents`.
+
+An empty table has no sources and gives no rows. Texts of any length are counted whole.
+Columns of the documents may have any name: the mix stands beside a struct of them.
 """
 
 from __future__ import annotations

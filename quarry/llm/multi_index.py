@@ -21,6 +21,9 @@ Vectors that are null, empty, zero, of another length than most of the sample, o
 hold a null or a non-finite number take no part, as queries or as entries. Rows that share an id
 are entries of their own; a query never meets its own id. A repeated query id is answered once, from
 the first of its vectors in order.
+
+Defined results: an empty table, or one without a vector that takes part, gives no rows.
+Other columns are not read and may have any name; ties go to the smaller id.
 """
 
 from __future__ import annotations

@@ -15,6 +15,13 @@ learned from. Reruns give the same model. Without labels of both kinds the score
 is the share of label 1 among those there are, or 0.5 without any.
 
 Null and empty texts are scored as a chunk of zeros.
+
+Defined results: a null text scores as an empty one. Rows that agree in id, label and text
+are learned from once and scored each. An empty table gives no rows; without a label of
+either kind all scores are the share of good labels, 0.5 without labels. A labelled text
+longer than the bytes that are left is not learned from and takes none of them; it is
+scored whole, in pieces. Other columns are not read and may have any name; `keep_good`
+passes them through.
 """
 
 from __future__ import annotations

@@ -17,6 +17,9 @@ are told apart by 64-bit hashes.
 
 Equal texts are one text with a multiplicity, whatever their ids. Null texts
 count as empty. Texts of fewer than WINDOW words are left alone.
+
+Defined results: an empty table gives no rows. Texts of any length are read whole; one
+alone may be a batch. Other columns are not read and may have any name.
 """
 
 from __future__ import annotations

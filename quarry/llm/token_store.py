@@ -19,7 +19,12 @@ independently and in vectors.
 Files are written by Spark's own writer to any file system it knows, under its
 commit protocol, so a lost executor leaves no half-written file behind.
 Null texts count as empty; a null document id sorts first and reads back as
-null; equal document ids are ordered by their text.
+null; equal document ids are ordered by the hash of their text, then the text.
+
+Defined results: an empty table gives an empty store and no rows. A null text is an
+empty one, the end id alone. Null ids come first. Rows that agree in id and text are
+stored as often as they occur. Texts of any length are encoded whole, a record then
+holds that one. Other columns are not read and may have any name.
 """
 
 from __future__ import annotations

@@ -4,6 +4,13 @@ quality: documents that the classifier rejects go. near_duplicates: of each grou
 one document stays. decontamination: documents that hold a benchmark item go.
 mixing: documents are taken as often as their source's target wants. tokens: the
 ids are written and read back; a row for each document taken.
+
+Each stage takes nulls in any column, empty and very long texts, repeated rows and columns
+of any name: quality scores a null text as an empty one; near_duplicates lets documents
+without words all stay and keeps one of the rows that agree in id and text; decontamination
+leaves null and empty texts alone; mixing takes nothing of a document without words, and
+counts a null source as the last one; tokens gives an empty text its end id, null ids first.
+An empty table passes through all stages and gives no rows.
 """
 
 from __future__ import annotations

@@ -85,3 +85,57 @@ def test_items_of_few_words_match_as_a_whole(spark):
     docs = spark.createDataFrame([(1, "a q0, Q1 q2 b"), (2, "q1 q0 q2"), (3, "q1 q2 q3"), (4, "x q0 q1 q2 q3 q4")], "doc_id long, text string")
     found = {(r["doc_id"], r["item_id"], r["n_equal"]) for r in C.find_leaks(docs, bench).collect()}
     assert found == {(1, 1, 1), (1, 2, 2), (1, 3, 3), (2, 1, 1)} | {(4, k, k) for k in range(1, 6)}
+
+
+def test_against_all_alignments(spark):
+    """Every document over every item at every place: a pair counts if some mask sees only equal words on the diagonal and a stretch of it meets the thresholds."""
+    draw = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    items = [[draw.choice(words) for _ in range(draw.choice([3, 5, 8, 12, 20, 40, 40]))] for _ in range(16)]
+    docs = []
+    for _ in range(80):
+        text = [draw.choice(words) for _ in range(draw.randint(0, 60))]
+        for _ in range(draw.randint(0, 2)):
+            item, rate = draw.choice(items), draw.choice([0, 0.1, 0.25, 0.4])
+            a = draw.randrange(len(item) // 3 + 1)
+            part = [w if draw.random() >= rate else draw.choice(words) for w in item[a : a + draw.randint(len(item) // 2, len(item))]]
+            text[len(text) // 2 : len(text) // 2] = part
+        docs.append(text)
+
+    def counts(equal, n):
+        for a in range(len(equal)):
+            same = 0
+            for b in range(a, len(equal)):
+                same += equal[b]
+                if same >= min(C.MATCHED, n) and same >= C.SHARE * (b + 1 - a):
+                    return True
+        return False
+
+    def held(text, item):
+        n = len(item)
+        masks = C.MASKS if n >= 5 else (tuple(range(n)),)
+        for place in range(-n + 1, len(text)):
+            low, high = max(0, -place), min(n, len(text) - place)
+            equal = [text[place + k] == item[k] for k in range(low, high)]
+            seen = any(all(equal[i + m] for m in mask) for mask in masks for i in range(len(equal) - mask[-1]))
+            if seen and counts(equal, n):
+                return True
+        return False
+
+    expected = {(d, i) for d, text in enumerate(docs) for i, item in enumerate(items) if held(text, item)}
+    left = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(docs)], "doc_id long, text string")
+    right = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in C.find_leaks(left, right).collect()}
+    assert (got - expected, expected - got) == (set(), set()) and len(expected) > 10
+
+
+def test_hits_in_pieces_are_those_at_once():
+    import numpy as np
+
+    draw = random.Random(3)
+    texts = [" ".join(draw.choice("abcdefgh") for _ in range(200)) for _ in range(3)]
+    items = C.Items([1, 2], [" ".join(draw.choice("abcdefgh") for _ in range(50)) for _ in range(2)])
+    words, first = C.plain_words(*C.W.buffers(C.pa.array(texts)))
+    text = np.repeat(np.arange(3), np.diff(first))
+    whole, pieces = (np.unique(np.concatenate(list(items.diagonals(words, text, most))), axis=0) for most in (1 << 30, 5))
+    assert whole.tolist() == pieces.tolist() and len(whole)

@@ -62,3 +62,27 @@ def test_nothing_to_mix(spark):
 def test_only_functions_of_the_engine(spark, folder):
     plan = M.plan_copies(spark.read.parquet(f"{folder}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_rates_solve_the_dual_exactly(spark):
+    """Each source's tilt by bisection: the copies are its rates rounded up or down, but for one mended document."""
+    import math
+    import random
+
+    draw = random.Random(6)
+    rows = [(i, draw.choice("abcd"), " ".join(["w"] * draw.randint(1, 60))) for i in range(500)]
+    got = M.plan_copies(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["key"], []).append(r)
+    for own in by.values():
+        target, total = own[0]["target"], sum(r["size"] for r in own)
+        mean = total / len(own)
+        rate = lambda t, s: min(3.0, math.exp(min(t * s / mean, 2.0)))  # noqa: E731, B023
+        low, high = -60.0, 60.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(r["size"] * rate(middle, r["size"]) for r in own) < target else (low, middle)
+        off = [r for r in own if abs(r["copies"] - rate(low, r["size"])) >= 1 + 1e-4]
+        assert len(off) <= 1
+        assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= 60

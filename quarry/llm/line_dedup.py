@@ -172,6 +172,12 @@ def _maps(prefix: str) -> list[Column]:
     return [F.col(f"{prefix}_{b}") for b in _MAPS]
 
 
+def _classes(every: DataFrame) -> DataFrame:
+    """The sets of all lines, numbered (rank) in the order in which they first stand."""
+    found = every.filter("n > 0").groupBy("id").agg(F.min(F.struct("doc_id", "row", "line")).alias("at"), F.first("n").alias("n"), F.first(F.struct("rare", *_MAPS)).alias("own"))
+    return found.sort("at").select(F.monotonically_increasing_id().alias("rank"), "id", "at", "n", "own.*")
+
+
 class _Corpus:
     """The classes of a corpus, and the comparison of all words of pairs of them."""
 
@@ -183,10 +189,7 @@ class _Corpus:
         found, path = lines(self.docs, self.places, False), new_path(spark, "listed")
         found.write.parquet(path)
         every = spark.read.schema(found.schema).parquet(path)
-        at = F.struct("doc_id", "row", "line")
-        classes = every.filter("n > 0").groupBy("id").agg(F.min(at).alias("at"), F.first("n").alias("n"), F.first(F.struct("rare", *_MAPS)).alias("own"))
-        classes = classes.sort("at").select(F.monotonically_increasing_id().alias("rank"), "id", "at", "n", "own.*")
-        self.classes = materialise(classes, "classes")
+        self.classes = materialise(_classes(every), "classes")
         self.lines = materialise(every.select("doc_id", "row", "line", "n"), "lines")
         discard(spark, path)
         reclaim(spark)
@@ -230,21 +233,27 @@ class _Corpus:
         if hubs is not None:  # few: broadcast in as many parts as they need
             earlier = materialise(listed.join(small(hubs), "rank", "left_semi"), "hubs")
             passes = min(PASSES, -(-max(1, earlier.count()) // BROADCAST_ROWS))
-        size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
-        need = F.ceil((size("x_own") + size("y_own")) * PERCENT / (100 + PERCENT))
-        # the first word that both have: behind it the smaller of what is left of either must do
-        possible = F.least(size("x_own") - place("x_own"), size("y_own") - place("y_own")) >= need
-        is_open = F.col("x_own").bitwiseAND(F.lit(1)) == 1
-        for k in range(passes):
+        for k in range(passes):  # a call for each part, so that nothing holds its shuffle files when they are reclaimed
             part, other = (x.filter(F.pmod("item", F.lit(passes)) == k) for x in (listed, earlier))
             if hubs is not None:
                 part, other = part.filter(F.col("own") % 2 == 1), small(other)
-            pairs = _named(part, "x").join(_named(other, "y"), (F.col("x_item") == F.col("y_item")) & (F.col("y_rank") < F.col("x_rank")) & is_open & possible & _can(size("x_own"), size("y_own"), _maps("x"), _maps("y")))
-            pairs.select(F.col("x_rank").alias("later"), F.col("y_rank").alias("earlier")).distinct().write.mode("append").parquet(paths)
+            _mates(part, other).write.mode("append").parquet(paths)
+            del part, other
             reclaim(spark)
         return materialise(spark.read.schema("later long, earlier long").parquet(paths).distinct(), "pairs")
 
 
+def _mates(part: DataFrame, other: DataFrame) -> DataFrame:
+    """later, earlier: the open sets of part with those of other before them that may be alike, by one equal word."""
+    size, place = (lambda c: F.shiftright(F.col(c), 32)), (lambda c: F.shiftright(F.col(c).bitwiseAND(F.lit((1 << 32) - 1)), 1))
+    need = F.ceil((size("x_own") + size("y_own")) * PERCENT / (100 + PERCENT))
+    # the first word that both have: behind it the smaller of what is left of either must do
+    possible = F.least(size("x_own") - place("x_own"), size("y_own") - place("y_own")) >= need
+    is_open = F.col("x_own").bitwiseAND(F.lit(1)) == 1
+    pairs = _named(part, "x").join(_named(other, "y"), (F.col("x_item") == F.col("y_item")) & (F.col("y_rank") < F.col("x_rank")) & is_open & possible & _can(size("x_own"), size("y_own"), _maps("x"), _maps("y")))
+    return pairs.select(F.col("x_rank").alias("later"), F.col("y_rank").alias("earlier")).distinct()
+
+
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two written tables: all lines (doc_id, row, line, n), and the lines that stay (doc_id, row, line)."""
     corpus = _Corpus(docs, id_col, text_col)

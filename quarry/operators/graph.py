@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +30,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """Written to the shared folder as Parquet and read from there. For many wide rows, as a checkpoint holds them at full width; until the session ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex[:10]}"
+    atexit.register(_forget, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _forget(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may already have gone
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("src").alias("node")).unionAll(edges.select("dst"))
     return both.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))

@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_bytes, without
-from .substring_dedup import SLICE, _keyed
+from .scratch import arrow_bytes, give_back, without
+from .substring_dedup import _keyed
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 7, 8), (0, 1, 4, 6, 9))
 MISS, MATCHED, SHARE = 1.0, 10, 0.65
 BLOCK_BYTES = 1 << 24
+#: Bytes of whole texts that are compared at a time; a worker holds some twenty-five times as much.
+SLICE = 1 << 20
 _BITS = 20
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
@@ -192,6 +194,7 @@ def _compare(items: Items, words: np.ndarray, first: np.ndarray, at: np.ndarray,
 
 def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what the stage before left
         items = shared.value
         for batch in batches:
             for i, buf, off in W.slices(batch.column(3), SLICE):
@@ -200,6 +203,7 @@ def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                     at, *rest = (list(c) for c in zip(*rows, strict=True))
                     own = [batch.column(c).take(pa.array([i + t for t in at])) for c in range(3)]
                     yield pa.RecordBatch.from_arrays(own + [pa.array(c, pa.int64()) for c in rest], ["doc_id", "h1", "h2", "item_id", "first_word", "end_word", "n_equal", "item_words"])
+        give_back()
 
     return run
 

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import arrow_bytes, materialise, only, reclaim, small, spare, without
+from .scratch import arrow_bytes, give_back, materialise, only, reclaim, small, spare, without
 from .substring_dedup import PROBES, SLICE, TEXTS, _batch, _grouped, _keyed, _parts, _PACKED, _row, batch_number, bucket_count
 
 SHINGLE, PERCENT = 5, 80
@@ -114,6 +114,8 @@ def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 rows += [_row(b, PROBES, number, part[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
                 for k in range(0, len(rows), 64):
                     yield _batch(rows[k : k + 64])
+                rows.clear()
+        give_back()
 
     return run
 

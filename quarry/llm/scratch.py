@@ -7,13 +7,15 @@ a re-read and never a recomputation of what came before.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,6 +93,25 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def freed_at_once(spark: SparkSession) -> Iterator[None]:
+    """While this lasts, the shuffle files of a query go as soon as it ends. The cleaner gets to them at some later time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Return to the system what this Python worker has freed; idle workers count as their executor's memory for a minute."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def spare(name: str, taken: list[str]) -> str:
     """A column name that none of those taken has, in whatever case."""
     lower = {c.lower() for c in taken}

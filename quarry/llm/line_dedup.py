@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import BROADCAST_ROWS, arrow_bytes, discard, materialise, new_path, only, reclaim, small, spare
+from .scratch import BROADCAST_ROWS, arrow_bytes, discard, freed_at_once, materialise, new_path, only, reclaim, small, spare
 
 PERCENT = 80
 COUNTERS, _PARTS = 1 << 20, 64
@@ -256,12 +256,13 @@ def _mates(part: DataFrame, other: DataFrame) -> DataFrame:
 
 def find_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Two written tables: all lines (doc_id, row, line, n), and the lines that stay (doc_id, row, line)."""
-    corpus = _Corpus(docs, id_col, text_col)
-    gone = corpus.alike(corpus.by_leads())
-    gone = gone.unionByName(corpus.alike(corpus.by_list(gone, gone.select(F.col("hub").alias("rank")).distinct())))
-    gone = gone.unionByName(corpus.alike(corpus.by_list(gone)))
-    kept = corpus.classes.join(small(gone), "rank", "left_anti").select("at.doc_id", "at.row", "at.line")
-    return corpus.lines, materialise(kept, "kept")
+    with freed_at_once(docs.sparkSession):
+        corpus = _Corpus(docs, id_col, text_col)
+        gone = corpus.alike(corpus.by_leads())
+        gone = gone.unionByName(corpus.alike(corpus.by_list(gone, gone.select(F.col("hub").alias("rank")).distinct())))
+        gone = gone.unionByName(corpus.alike(corpus.by_list(gone)))
+        kept = corpus.classes.join(small(gone), "rank", "left_anti").select("at.doc_id", "at.row", "at.line")
+        return corpus.lines, materialise(kept, "kept")
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

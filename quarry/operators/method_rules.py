@@ -29,12 +29,12 @@ def lacks(*tokens: str) -> Column:
     return ~has(*tokens)
 
 
-def rx(*patterns: str) -> Column:
-    """Any of the patterns is found in the body."""
+def rx(*patterns: str, held: tuple[str, ...] = ()) -> Column:
+    """Any of the patterns is found in the body; one of `held` stands in all that they find and is looked for first, as that is cheap."""
     out = F.lit(False)
     for pattern in patterns:
         out |= BODY().rlike(pattern)
-    return out
+    return has(*held) & out if held else out
 
 
 def modifier(name: str) -> Column:
@@ -46,9 +46,9 @@ def captured(pattern: str, holds: Callable[[Column], Column]) -> Column:
     return F.exists(F.array_distinct(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))), holds)
 
 
-def used_after(pattern: str, then: str) -> Column:
+def used_after(pattern: str, then: str, held: tuple[str, ...] = ()) -> Column:
     """Pattern finds a name in group 1 that `then`, in which {} stands for it, finds later in the body."""
-    return rx(f"(?s){pattern}.*?{then.format(chr(92) + '1')}")
+    return rx(f"(?s){pattern}.*?{then.format(chr(92) + '1')}", held=held)
 
 
 def count_of(pattern: str) -> Column:
@@ -62,16 +62,16 @@ DECLARED = r"(?:final\s+)?(?:\w+(?:<[^>]+>)?\s+)(\w+)\s*="
 
 def _never_used_again() -> Column:
     """A declared name of two letters or more that does not occur after its declaration."""
-    return rx(r"(?s)(?:final\s+)?(?:\w+(?:<[^>]+>)?\s+)\b(?!(?:null|this|true|false)\b)(\w{2,})\s*=(?!.*\b\1\b)")
+    return rx(r"(?s)(?:final\s+)?(?:\w+(?:<[^>]+>)?\s+)\b(?!(?:null|this|true|false)\b)(\w{2,})\s*=(?!.*\b\1\b)", held=("=",))
 
 
 # Keys, ratings, titles, tokens and patterns of the rules.
 METHOD_RULES = (
-    Rule("RSPEC-108", "MAJOR", "BUG", "Empty catch block should not be used", lambda: rx(r"catch\s*\([^)]*\)\s*\{(\s*//[^\n]*|\s*/\*[^*]*\*/\s*)*\}", r"catch\s*\([^)]*\)\s*\{\s*\}")),
-    Rule("RSPEC-4973", "CRITICAL", "BUG", "Strings should not be compared using ==", lambda: rx(r'"[^"]*"\s*[!=]=\s*\w+', r'\w+\s*[!=]=\s*"[^"]*"')),
-    Rule("RSPEC-1764", "MAJOR", "BUG", "Identical expressions on both sides of operator", lambda: rx(r"(\w+(?:\.\w+)*)\s*(?:==|!=|&&|\|\||\+|-|\*|/)\s*\1\b")),
+    Rule("RSPEC-108", "MAJOR", "BUG", "Empty catch block should not be used", lambda: rx(r"catch\s*\([^)]*\)\s*\{(\s*//[^\n]*|\s*/\*[^*]*\*/\s*)*\}", r"catch\s*\([^)]*\)\s*\{\s*\}", held=("catch",))),
+    Rule("RSPEC-4973", "CRITICAL", "BUG", "Strings should not be compared using ==", lambda: rx(r'"[^"]*"\s*[!=]=\s*\w+', r'\w+\s*[!=]=\s*"[^"]*"', held=("==", "!="))),
+    Rule("RSPEC-1764", "MAJOR", "BUG", "Identical expressions on both sides of operator", lambda: rx(r"(\w+(?:\.\w+)*)\s*(?:==|!=|&&|\|\||\+|-|\*|/)\s*\1\b", held=("==", "!=", "&&", "||", "+", "-", "*", "/"))),
     Rule("RSPEC-1217", "MAJOR", "BUG", "Thread.run() should not be called directly", lambda: rx(r"\w+\.run\s*\(") & lacks(".start()")),
-    Rule("RSPEC-3067", "CRITICAL", "BUG", "wait/notify must be in synchronized context", lambda: (has(".wait(", ".notify(", ".notifyAll(") | rx(r"\bwait\s*\(")) & ~modifier("synchronized")),
+    Rule("RSPEC-3067", "CRITICAL", "BUG", "wait/notify must be in synchronized context", lambda: (has(".wait(", ".notify(", ".notifyAll(") | rx(r"\bwait\s*\(", held=("wait",))) & ~modifier("synchronized")),
     Rule(
         "RSPEC-2384",
         "MAJOR",
@@ -85,25 +85,25 @@ METHOD_RULES = (
         "CRITICAL",
         "BUG",
         "Null pointers should not be dereferenced",
-        lambda: captured(r"(\w+)\s*=\s*null\s*;", lambda v: F.rlike(BODY(), F.concat(F.lit(r"\b"), v, F.lit(r"\s*\.\w+\s*\("))) & ~F.rlike(BODY(), F.concat(F.lit(r"if\s*\(\s*"), v, F.lit(r"\s*!?=?\s*null\s*\)")))),
+        lambda: has("null") & captured(r"(\w+)\s*=\s*null\s*;", lambda v: F.rlike(BODY(), F.concat(F.lit(r"\b"), v, F.lit(r"\s*\.\w+\s*\("))) & ~F.rlike(BODY(), F.concat(F.lit(r"if\s*\(\s*"), v, F.lit(r"\s*!?=?\s*null\s*\)")))),
     ),
     Rule("RSPEC-1854", "MINOR", "BUG", "Dead stores should be removed", _never_used_again),
     Rule("RSPEC-3047", "MAJOR", "BUG", "Assertions should not contain side effects", lambda: has("assert ") & rx(r"assert\s+.*\b=\b", r"assert\s+.*\+\+|assert\s+.*--")),
     Rule("RSPEC-135", "MINOR", "BUG", "Loop should not branch to update statement", lambda: has("for (", "for(") & has("continue;")),
-    Rule("RSPEC-1874", "MINOR", "BUG", "Deprecated code should not be used", lambda: rx(r"new Thread().stop\(", r"new Date\s*\([^)]\)", r"new Integer\s*\(", r"new Double\s*\(", r"new Float\s*\(", r"new Long\s*\(", r"new Boolean\s*\(", r"new Short\s*\(", r"new Byte\s*\(")),
+    Rule("RSPEC-1874", "MINOR", "BUG", "Deprecated code should not be used", lambda: rx(r"new Thread().stop\(", r"new Date\s*\([^)]\)", r"new Integer\s*\(", r"new Double\s*\(", r"new Float\s*\(", r"new Long\s*\(", r"new Boolean\s*\(", r"new Short\s*\(", r"new Byte\s*\(", held=("new ",))),
     Rule("RSPEC-2677", "MAJOR", "BUG", "Arrays should not be compared using equals", lambda: has("].equals(") | (has("==") & has("new") & has("["))),
-    Rule("RSPEC-2111", "MAJOR", "BUG", "BigDecimal(double) should not be used", lambda: rx(r"new\s+BigDecimal\s*\(\s*\d+\.\d+")),
+    Rule("RSPEC-2111", "MAJOR", "BUG", "BigDecimal(double) should not be used", lambda: rx(r"new\s+BigDecimal\s*\(\s*\d+\.\d+", held=("BigDecimal",))),
     Rule("RSPEC-2225", "MAJOR", "BUG", "toString() should not return null", lambda: (F.col("name") == "toString") & rx(r"return\s+null\s*;")),
     Rule("RSPEC-3078", "MINOR", "BUG", "Use Thread.currentThread().getContextClassLoader()", lambda: has(".getClassLoader()") & lacks("Thread.currentThread().getContextClassLoader()")),
-    Rule("RSPEC-1696", "MINOR", "BUG", "Exception caught and rethrown without handling", lambda: rx(r"catch\s*\([^)]*\)\s*\{\s*throw\s+\w+\s*;\s*\}")),
-    Rule("RSPEC-4970", "MAJOR", "BUG", "Unchecked exceptions should not be caught", lambda: rx(r"catch\s*\(\s*(?:RuntimeException|NullPointerException|IndexOutOfBoundsException|IllegalArgumentException)\s+")),
+    Rule("RSPEC-1696", "MINOR", "BUG", "Exception caught and rethrown without handling", lambda: rx(r"catch\s*\([^)]*\)\s*\{\s*throw\s+\w+\s*;\s*\}", held=("catch",))),
+    Rule("RSPEC-4970", "MAJOR", "BUG", "Unchecked exceptions should not be caught", lambda: rx(r"catch\s*\(\s*(?:RuntimeException|NullPointerException|IndexOutOfBoundsException|IllegalArgumentException)\s+", held=("catch",))),
     Rule("RSPEC-2095", "CRITICAL", "BUG", "Resources should be closed", lambda: has("new FileInputStream(", "new FileOutputStream(", "new BufferedReader(", "new Socket(") & lacks("try (", "finally", ".close()")),
     Rule("RSPEC-2142", "MAJOR", "BUG", "InterruptedException should not be ignored", lambda: has("InterruptedException") & lacks("Thread.currentThread().interrupt()", "throw", "log.", "LOG.")),
-    Rule("RSPEC-2184", "MAJOR", "BUG", "Long should not be cast to int", lambda: rx(r"\(\s*int\s*\)\s*\w*[Ll]ong")),
+    Rule("RSPEC-2184", "MAJOR", "BUG", "Long should not be cast to int", lambda: rx(r"\(\s*int\s*\)\s*\w*[Ll]ong", held=("int",))),
     Rule("RSPEC-2276", "MINOR", "CODE_SMELL", "Primitive wrappers should not be cast to primitives", lambda: rx(r"\(\s*int\s*\)\s*Integer|\(\s*long\s*\)\s*Long|\(\s*double\s*\)\s*Double")),
     Rule("RSPEC-1132", "MAJOR", "CODE_SMELL", "String concatenation in loops should be avoided", lambda: LOOP() & CONCAT() & lacks("StringBuilder", "StringBuffer")),
     Rule("RSPEC-1186", "MINOR", "CODE_SMELL", "Empty method bodies should be removed or documented", lambda: BODY().rlike(r"^\s*\{?\s*\}?\s*$") & modifier("public") & ~modifier("abstract") & ~modifier("native")),
-    Rule("RSPEC-2166", "MINOR", "CODE_SMELL", "Boolean literals should not be redundant", lambda: rx(r"if\s*\(\s*\w+\s*==\s*(true|false)\s*\)")),
+    Rule("RSPEC-2166", "MINOR", "CODE_SMELL", "Boolean literals should not be redundant", lambda: rx(r"if\s*\(\s*\w+\s*==\s*(true|false)\s*\)", held=("==",))),
     Rule("RSPEC-2253", "MINOR", "CODE_SMELL", "Use equalsIgnoreCase for case-insensitive comparison", lambda: has(".toLowerCase().equals(", ".toUpperCase().equals(")),
     Rule("RSPEC-2254", "MAJOR", "CODE_SMELL", "toString() should not return sensitive information", lambda: (F.col("name") == "toString") & has("password", "secret", "token", "key")),
     Rule(
@@ -132,7 +132,7 @@ METHOD_RULES = (
     Rule("RSPEC-5860", "MINOR", "CODE_SMELL", "Regex lookaround should not be used", lambda: has("(?=", "(?!", "(?<=", "(?<!")),
     Rule("RSPEC-6202", "MAJOR", "CODE_SMELL", "Regex with catastrophic backtracking should not be used", lambda: has("(.*)*", "(.*).*")),
     Rule("RSPEC-6303", "CRITICAL", "BUG", "java.util.Random should not be used for security", lambda: has("new Random(", "Random().nextInt") & has("password", "token", "secret", "key", "session")),
-    Rule("RSPEC-6347", "MAJOR", "BUG", "Null check should be done before dereferencing", lambda: used_after(r"\b(\w+)\.\w+\s*\(", r"if\s*\(\s*{}\s*==\s*null\s*\)")),
+    Rule("RSPEC-6347", "MAJOR", "BUG", "Null check should be done before dereferencing", lambda: used_after(r"\b(\w+)\.\w+\s*\(", r"if\s*\(\s*{}\s*==\s*null\s*\)", held=("null",))),
     Rule("RSPEC-6437", "MINOR", "CODE_SMELL", "Log injection should be prevented", lambda: has("log.info(", "log.warn(", "log.error(") & has("+ ") & lacks("replace", "escape")),
     Rule("RSPEC-6535", "MAJOR", "SECURITY", "Hashing without salt is insecure", lambda: has("MessageDigest", "digest(") & has("password", "Password") & lacks("salt")),
     Rule("RSPEC-6544", "MAJOR", "SECURITY", "Cookies should have Secure flag", lambda: has("new Cookie(") & lacks("setSecure(true)", "secure")),
@@ -140,7 +140,7 @@ METHOD_RULES = (
     Rule("RSPEC-6549", "MAJOR", "SECURITY", "Content-Type sniffing should be prevented", lambda: has("X-Content-Type-Options") & lacks("nosniff")),
     Rule("RSPEC-6557", "MAJOR", "BUG", "BigDecimal operations should not lose precision", lambda: has("BigDecimal") & has("divide(", ".doubleValue()", ".floatValue()")),
     Rule("RSPEC-6568", "MAJOR", "SECURITY", "File permissions should not be overly permissive", lambda: has("setReadable(true, false)", "setWritable(true, false)", "setReadable(true)", "setWritable(true)")),
-    Rule("RSPEC-2068", "CRITICAL", "SECURITY", "Hard-coded credentials are security-sensitive", lambda: rx(r'(?i)(password|passwd|secret|apiKey|token|privateKey|accessKey|secretKey|pwd)\s*=\s*"[^"]+"')),
+    Rule("RSPEC-2068", "CRITICAL", "SECURITY", "Hard-coded credentials are security-sensitive", lambda: rx(r'(?i)(password|passwd|secret|apiKey|token|privateKey|accessKey|secretKey|pwd)\s*=\s*"[^"]+"', held=('"',))),
     Rule("RSPEC-2077", "CRITICAL", "SECURITY", "SQL queries should not be constructed dynamically", lambda: has("SELECT", "INSERT", "UPDATE", "DELETE") & has('+ "', '" +', "String.format", "MessageFormat.format")),
     Rule("RSPEC-1313", "MINOR", "SECURITY", "Hard-coded IP addresses should not be used", lambda: rx(r"\b(?:\d{1,3}\.){3}\d{1,3}\b") & lacks("127.0.0.1", "0.0.0.0")),
     Rule("RSPEC-5145", "MINOR", "SECURITY", "HTTP requests should use HTTPS", lambda: has("http://") & lacks("https://", "localhost", "127.0.0.1")),
@@ -167,8 +167,8 @@ METHOD_RULES = (
     Rule("RSPEC-106", "MINOR", "CODE_SMELL", "System.out.println should not be used for logging", lambda: has("System.out.print", "System.err.print")),
     Rule("RSPEC-012", "MINOR", "CODE_SMELL", "Empty statements should be removed", lambda: rx(r";\s*;")),
     Rule("RSPEC-1481", "MINOR", "CODE_SMELL", "Unused local variables should be removed", _never_used_again),
-    Rule("RSPEC-1192", "MINOR", "CODE_SMELL", "String literals should not be duplicated", lambda: rx(r'(?s)"([^"]{4,})".*"\1".*"\1"')),
-    Rule("RSPEC-1166", "MAJOR", "CODE_SMELL", "Exception handlers should preserve the original exception", lambda: rx(r"catch\s*\([^)]*\)\s*\{\s*throw\s+new\s+\w+Exception\s*\([^)]*\)\s*;\s*\}") & lacks("e)", "cause", "initCause")),
+    Rule("RSPEC-1192", "MINOR", "CODE_SMELL", "String literals should not be duplicated", lambda: rx(r'(?s)"([^"]{4,})".*"\1".*"\1"', held=('"',))),
+    Rule("RSPEC-1166", "MAJOR", "CODE_SMELL", "Exception handlers should preserve the original exception", lambda: rx(r"catch\s*\([^)]*\)\s*\{\s*throw\s+new\s+\w+Exception\s*\([^)]*\)\s*;\s*\}", held=("catch",)) & lacks("e)", "cause", "initCause")),
     Rule("RSPEC-4502", "CRITICAL", "SECURITY", "CSRF should not be disabled", lambda: has("csrf().disable()", "CsrfConfigurer")),
     Rule("RSPEC-4433", "MINOR", "CODE_SMELL", "JDBC connections should not be retrieved from JNDI", lambda: has("InitialContext") & has("lookup(") & has("jdbc")),
 )

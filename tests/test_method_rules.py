@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import Row
 
-from quarry.operators.method_rules import METHOD_RULES, SUBJECT, method_issues
+from quarry.operators.method_rules import METHOD_RULES, SUBJECT, method_issues, rx
 
 CLEAN = 'log.info("order {} saved", id);\nreturn repository.save(order);'
 
@@ -130,3 +130,10 @@ def test_disabled_rules_do_not_fire(spark):
     rows = spark.createDataFrame([("f", "C", "m", "e.printStackTrace();", [], "void", [], 1, 1, "d")], SUBJECT)
     assert method_issues(rows, ("RSPEC-1148",)).collect() == []
     assert [r["rule_key"] for r in method_issues(rows).collect()] == ["RSPEC-1148"]
+
+
+def test_plain_part_is_looked_for_first_and_loses_nothing(spark):
+    bodies = spark.createDataFrame([("if (a != a) x();",), ("y = z | z;",), ("a && a",), ("b / b",), ("c",)], "body string")
+    pattern = r"(\w+)\s*(?:==|!=|&&|/)\s*\1\b"
+    got = bodies.select(rx(pattern).alias("plain"), rx(pattern, held=("==", "!=", "&&", "/")).alias("held")).collect()
+    assert [r.plain for r in got] == [r.held for r in got] == [True, False, True, True, False]

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_bytes, give_back, without
+from .scratch import arrow_bytes, lean, without
 from .substring_dedup import _keyed
 
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 3, 5, 6), (0, 2, 3, 7, 8), (0, 1, 4, 6, 9))
@@ -194,7 +194,6 @@ def _compare(items: Items, words: np.ndarray, first: np.ndarray, at: np.ndarray,
 
 def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        give_back()  # what the stage before left
         items = shared.value
         for batch in batches:
             for i, buf, off in W.slices(batch.column(3), SLICE):
@@ -203,7 +202,6 @@ def _probe(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBat
                     at, *rest = (list(c) for c in zip(*rows, strict=True))
                     own = [batch.column(c).take(pa.array([i + t for t in at])) for c in range(3)]
                     yield pa.RecordBatch.from_arrays(own + [pa.array(c, pa.int64()) for c in rest], ["doc_id", "h1", "h2", "item_id", "first_word", "end_word", "n_equal", "item_words"])
-        give_back()
 
     return run
 
@@ -221,7 +219,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     for b in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()  # a block is bounded
         shared = spark.sparkContext.broadcast(Items([r[0] for r in rows], [r[1] for r in rows]))
-        found = keyed.mapInArrow(_probe(shared), "doc_id long, h1 long, h2 long, item_id long, first_word long, end_word long, n_equal long, item_words long")
+        found = keyed.mapInArrow(lean(_probe(shared)), "doc_id long, h1 long, h2 long, item_id long, first_word long, end_word long, n_equal long, item_words long")
         out = found if out is None else out.unionByName(found)
     if blocks > 1:
         order = Window.partitionBy("doc_id", "h1", "h2", "item_id").orderBy(F.desc("n_equal"), "first_word")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .scratch import arrow_bytes, give_back, materialise, only, reclaim, small, spare, without
+from .scratch import arrow_bytes, lean, lean_group, materialise, only, reclaim, small, spare, without
 from .substring_dedup import PROBES, SLICE, TEXTS, _batch, _grouped, _keyed, _parts, _PACKED, _row, batch_number, bucket_count
 
 SHINGLE, PERCENT = 5, 80
@@ -52,6 +52,8 @@ SHINGLE, PERCENT = 5, 80
 MOST_LIGHT = 16
 #: Rounds in which a set is compared with a few likely mates only, before all pairs of components that are left; pairs of minimal hashes by which mates are found.
 ROUNDS, BANDS = 2, 16
+#: Of texts whose shingles are made at once; bounds what that takes besides its result.
+PIECE = 1 << 20
 
 
 def required(p: int, q: int) -> int:
@@ -60,7 +62,18 @@ def required(p: int, q: int) -> int:
 
 
 def shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each text's distinct shingles, ordered by text and hash: the texts' indices and the hashes."""
+    """Each text's distinct shingles, ordered by text and hash: the texts' indices and the hashes. Taken from PIECE bytes of whole texts at a time."""
+    texts, hashes, i = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while i < len(off) - 1:
+        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, side="right")) - 1)
+        text, h = _shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+        texts.append(text + i)
+        hashes.append(h)
+        i = j
+    return np.concatenate(texts), np.concatenate(hashes)
+
+
+def _shingles(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     s, e, f = W.spans(buf, off)
     words, count = W.span_hash(buf, s, e, W.FOLDED), np.diff(f)
     at, text = W.run_starts(f, SHINGLE)
@@ -115,7 +128,6 @@ def _scan(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 for k in range(0, len(rows), 64):
                     yield _batch(rows[k : k + 64])
                 rows.clear()
-        give_back()
 
     return run
 
@@ -216,7 +228,7 @@ def _subsets(boundary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def light_links(sets: DataFrame, boundary: int) -> DataFrame:
     """Links a, b that connect all linked sets of up to `boundary` shingles."""
-    emitted = materialise(sets.filter(F.col("n") <= boundary).select("sid", "n", "items").mapInArrow(_subsets(boundary), "subset long, sid long, low boolean, high boolean"), "subsets")
+    emitted = materialise(sets.filter(F.col("n") <= boundary).select("sid", "n", "items").mapInArrow(lean(_subsets(boundary)), "subset long, sid long, low boolean, high boolean"), "subsets")
     hubs = emitted.groupBy("subset").agg(F.min(F.when(F.col("low"), F.col("sid"))).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1 and hub is not null")
     return emitted.join(hubs.select("subset", "hub"), "subset").filter("sid != hub").select(F.col("sid").alias("a"), F.col("hub").alias("b")).distinct()
 
@@ -304,14 +316,14 @@ def group_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     arrow_bytes(spark)
     keyed = _keyed(docs, id_col, text_col)
     buckets = bucket_count(keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    counted = keyed.mapInArrow(_scan(buckets), _PACKED).groupBy("bucket").applyInArrow(_count, _PACKED).select("bucket", "kind", "batch", "payload", "more")
-    state = materialise(counted.groupBy("batch").applyInArrow(_gather, "doc_id long, h1 long, h2 long, s1 long, s2 long, n long, df binary"), "state")
+    counted = keyed.mapInArrow(lean(_scan(buckets)), _PACKED).groupBy("bucket").applyInArrow(lean_group(_count), _PACKED).select("bucket", "kind", "batch", "payload", "more")
+    state = materialise(counted.groupBy("batch").applyInArrow(lean_group(_gather), "doc_id long, h1 long, h2 long, s1 long, s2 long, n long, df binary"), "state")
     reclaim(spark)
     classes = state.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h1", "h2")).alias("rep"), F.first("df", ignorenulls=True).alias("df"))
     classes = materialise(classes.select(F.col("s1").alias("sid"), "s2", "rep.doc_id", "rep.h1", "rep.h2", "df"), "classes")
     likely = classes.filter("df is not null")
     texts = only(keyed, likely, ["h1", "h2", "doc_id"]).alias("d").join(likely.alias("c"), (F.col("d.h1") == F.col("c.h1")) & (F.col("d.h2") == F.col("c.h2")) & F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-    sets = materialise(texts.select("sid", "df", "text").mapInArrow(_sets(buckets), "sid long, n long, items array<long>, scanned long, bands array<long>, hub double").dropDuplicates(["sid"]), "sets")
+    sets = materialise(texts.select("sid", "df", "text").mapInArrow(lean(_sets(buckets)), "sid long, n long, items array<long>, scanned long, bands array<long>, hub double").dropDuplicates(["sid"]), "sets")
     boundary = boundary_by_cost(sets)
     links = light_links(sets, boundary).unionByName(heavy_links(sets, boundary))
     groups = components(links)

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_bytes, spare
+from .scratch import arrow_bytes, lean, spare
 
 FOLDS, HELD_OUT = 3, 1
 CHUNK, WIDTH, STRIDE, FILTERS, EMBEDDED = 128, 6, 2, 24, 8
@@ -201,7 +201,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for row in listed:
         if row["size"] <= left:
             taken, left = [*taken, (row["doc_id"], row["quality"], row["hash"], row["size"])], left - row["size"]
-    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, quality int, hash long, size int")
+    # by way of Arrow: rows in a list would take Python workers of another kind on the executors
+    columns = list(zip(*taken, strict=True)) or [[]] * 4
+    kinds = {"doc_id": pa.int64(), "quality": pa.int32(), "hash": pa.int64(), "size": pa.int32()}
+    wanted = docs.sparkSession.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], names=list(kinds)))
     learned = found.join(F.broadcast(wanted), ["doc_id", "quality", "hash", "size"]).groupBy(*order).agg(F.min("text").alias("text"))
     learned = learned.orderBy(*order).select("quality", "text").collect()  # bounded by MOST_BYTES
     return fit([r["text"].encode() for r in learned], np.array([r["quality"] for r in learned], np.float64))
@@ -220,7 +223,7 @@ def score_documents(docs: DataFrame, model: Model | float, id_col: str = "doc_id
     """Per document: doc_id, held_out, score, predicted."""
     arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(_scorer(model), "doc_id long, score double")
+    out = rows.mapInArrow(lean(_scorer(model)), "doc_id long, score double")
     fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % FOLDS == HELD_OUT, F.lit(False))
     return out.select("doc_id", fold.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -229,7 +232,7 @@ def keep_good(docs: DataFrame, model: Model | float, text_col: str = "text", lea
     """The documents that score `least` or more, all columns kept."""
     arrow_bytes(docs.sparkSession)
     rows = docs.withColumn(spare("text", docs.columns), F.col(text_col).cast("string"))
-    out = rows.mapInArrow(_keeper(model, least), docs.schema)
+    out = rows.mapInArrow(lean(_keeper(model, least)), docs.schema)
     return out
 
 

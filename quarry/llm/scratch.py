@@ -10,7 +10,7 @@ import atexit
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager, suppress
 from functools import reduce
 from operator import and_
@@ -67,7 +67,7 @@ def _forget(spark: SparkSession, root: str) -> None:
 
 
 #: Of an Arrow batch. One value for all operators, so a result does not depend on which query was built last.
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 def arrow_bytes(spark: SparkSession) -> None:
@@ -112,6 +112,45 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+_held: dict[str, dict] = {}
+
+
+def held(name: str) -> dict:
+    """What a Python worker holds from task to task, until one comes that does not use it."""
+    return _held.setdefault(name, {})
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], uses: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A map over batches whose worker returns what the task before left, and what it has freed itself after each batch."""
+
+    def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch
+            del batch  # while the next one is read
+            give_back()
+
+    def kept_small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, what in _held.items():
+            if name != uses:
+                what.clear()
+        give_back()
+        yield from run(one_by_one(batches))
+        give_back()
+
+    return kept_small
+
+
+def lean_group(run: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """The same for a map over groups."""
+
+    def kept_small(key: tuple, table: pa.Table) -> pa.Table:
+        out = run(key, table)
+        give_back()
+        return out
+
+    return kept_small
+
+
 def spare(name: str, taken: list[str]) -> str:
     """A column name that none of those taken has, in whatever case."""
     lower = {c.lower() for c in taken}

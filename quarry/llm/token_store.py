@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import words as W
-from .scratch import arrow_bytes, arrow_rows, discard, materialise, new_path
+from .scratch import arrow_bytes, arrow_rows, discard, held, lean, materialise, new_path
 
 BLOCK = 128
 MARK = "|S8BEND|"
@@ -169,7 +169,7 @@ class PieceEncoder:
     space, are called on whole texts.
     """
 
-    def __init__(self, path: str, most_cached: int = 2_000_000):
+    def __init__(self, path: str, most_cached: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -192,7 +192,8 @@ class PieceEncoder:
         self.bounds, self.ids = np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def _run(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        some = (texts[i : i + 8] for i in range(0, len(texts), 8))  # an encoding holds far more than its ids
+        return [np.array(e.ids, np.uint32) for part in some for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of each text."""
@@ -207,12 +208,12 @@ class PieceEncoder:
         if len(self.known) > self.most:
             self._reset()
         at = np.searchsorted(self.known, names)
-        new = np.flatnonzero(np.append(self.known, np.uint64(0))[at] != names) if len(self.known) else np.arange(len(names))
+        new = np.flatnonzero((at == len(self.known)) | (self.known[np.minimum(at, len(self.known) - 1)] != names)) if len(self.known) else np.arange(len(names))
         if len(new):
             self._learn(buf, starts[first[new]], ends[first[new]], names[new])
             at = np.searchsorted(self.known, names)
         slots = self.slot[at]
-        low, size = self.bounds[slots], np.diff(self.bounds)[slots]
+        low, size = self.bounds[slots], self.bounds[slots + 1] - self.bounds[slots]
         size, low = size[piece], low[piece]
         before = np.concatenate(([0], np.cumsum(size)))
         ids = self.ids[np.arange(before[-1]) + np.repeat(low - before[:-1], size)]
@@ -256,7 +257,7 @@ class PieceEncoder:
         self.ids = np.concatenate((self.ids, *parts))
 
 
-_encoders: dict[str, PieceEncoder] = {}
+_encoders: dict[str, PieceEncoder] = held("encoders")
 
 
 def encoder_for(path: str) -> PieceEncoder:
@@ -276,7 +277,7 @@ def _packer(path: str, end_id: int, record_ids: int) -> Callable[[Iterator[pa.Re
 
         for batch in batches:
             docs = batch.column(0).to_pylist()
-            for i, buf, off in W.slices(batch.column(1), 1 << 21):
+            for i, buf, off in W.slices(batch.column(1), 1 << 20):
                 ids, n = encoder.encode(buf, off)
                 to = np.cumsum(n + 1)
                 out = np.full(to[-1], end_id, np.uint32)
@@ -306,7 +307,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id
     arrow_bytes(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ranged = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
-    packed = ranged.select("doc_id", "text").mapInArrow(_packer(tokenizer, end_id, record_ids), "value binary").select(F.col("value").cast("string"))
+    packed = ranged.select("doc_id", "text").mapInArrow(lean(_packer(tokenizer, end_id, record_ids), "encoders"), "value binary").select(F.col("value").cast("string"))
     packed.write.option("lineSep", MARK).option("maxRecordsPerFile", records_per_file).text(path)
 
 
@@ -327,7 +328,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a token store: doc_id, start (ids before it), n_tokens, ids_crc32."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
     with arrow_rows(spark, 1):  # a row is a file
-        rows = materialise(files.mapInArrow(_decode, "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token_rows")
+        rows = materialise(files.mapInArrow(lean(_decode), "part long, piece long, doc_id long, at long, n_tokens long, ids_crc32 long"), "token_rows")
     sizes = rows.groupBy("part", "piece").agg(F.sum("n_tokens").alias("n"))
     order = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sizes.select("part", "piece", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))

@@ -105,3 +105,14 @@ def test_clashing_names(spark):
     left = L.without_lines(docs, L.dedup_lines(docs))
     assert left.columns == docs.columns
     assert [tuple(r) for r in left.orderBy("doc_id").collect()] == [rows[0], (2, "y", *rows[1][2:])]
+
+
+def test_no_python_on_the_executors(spark, monkeypatch):
+    def refused(*_):
+        raise AssertionError("DataFrame functions only are asked for")
+
+    rows = [(1, "a\tb\x0bc\x0cd\re"), (2, "e d c b a x"), (3, "\x0b\x0c\r\t \n\x0cé à\n à é"), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for kind, name in ((type(docs), "mapInArrow"), (type(docs), "mapInPandas"), (type(docs.groupBy("doc_id")), "applyInArrow"), (type(docs.groupBy("doc_id")), "applyInPandas")):
+        monkeypatch.setattr(kind, name, refused)
+    assert decided(docs) == by_hand(rows) == {1: (1, 0, []), 2: (1, 1, [0]), 3: (3, 1, [2]), 4: (0, 0, [])}

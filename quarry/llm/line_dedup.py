@@ -44,7 +44,7 @@ from . import words as W  # noqa: F401  with numpy, for the helper that a test h
 from .scratch import BROADCAST_ROWS, discard, freed_at_once, materialise, new_path, only, reclaim, small, spare
 
 PERCENT = 80
-COUNTERS = 1 << 14
+COUNTERS = 1 << 17
 #: Of a word's key, those of its hash; above them stands its counter's logarithm.
 _BITS = 56
 #: Bitmaps of 64 bits, a power of two.

@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from quarry.llm import line_dedup as L
 
 
@@ -116,3 +118,44 @@ def test_no_python_on_the_executors(spark, monkeypatch):
     for kind, name in ((type(docs), "mapInArrow"), (type(docs), "mapInPandas"), (type(docs.groupBy("doc_id")), "applyInArrow"), (type(docs.groupBy("doc_id")), "applyInPandas")):
         monkeypatch.setattr(kind, name, refused)
     assert decided(docs) == by_hand(rows) == {1: (1, 0, []), 2: (1, 1, [0]), 3: (3, 1, [2]), 4: (0, 0, [])}
+
+
+def test_long_words_first_without_a_count(spark, monkeypatch):
+    """Words that are as frequent are listed by their length, and no word is counted while lists are short."""
+    monkeypatch.setattr(L, "word_places", lambda *_: pytest.fail("words were counted"))
+    rows = [(1, "a be sea tree rivers mountain elephants"), (2, "be a mountain sea tree rivers elephants x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = L.with_keys(L.raw_lines(docs), None).orderBy("doc_id").collect()[0]["keys"]
+    alone = {w: L.with_keys(L.raw_lines(spark.createDataFrame([(1, w)], "doc_id long, text string")), None).first()["keys"][0] for w in rows[0][1].split()}
+    assert first == [alone[w] for w in sorted(alone, key=len, reverse=True)]
+    assert decided(docs) == by_hand(rows)
+
+
+def test_words_are_counted_where_lists_are_long(spark, monkeypatch):
+    """With the common long words behind the others the result is the same."""
+    draw, counted = random.Random(11), []
+    places = L.word_places
+    monkeypatch.setattr(L, "word_places", lambda *a: counted.append(1) or places(*a))
+    monkeypatch.setattr(L, "PAIRS_A_SET", 20)
+    common = [f"averylongandcommonword{i}" for i in range(4)]
+    rows = []
+    for i in range(150):
+        line = [*common, *(f"w{draw.randrange(300)}" for _ in range(14))]
+        rows.append((i, " ".join(line) if i % 3 or not i else " ".join([*rows[i - 1][1].split()[:-1], f"x{i}"])))
+    assert decided(spark.createDataFrame(rows, "doc_id long, text string")) == by_hand(rows)
+    assert counted == [1]
+
+
+def test_bits_never_prove_more_than_differs(spark):
+    """Small and large sets, on either side of the size at which the second map begins."""
+    draw = random.Random(12)
+    rows = [(i, " ".join(draw.sample([f"w{k}" for k in range(260)], draw.choice([4, 20, 60, 96, 97, 110, 130, 200])))) for i in range(120)]
+    found = {r["doc_id"]: r for r in L.lines(spark.createDataFrame(rows, "doc_id long, text string"), None).collect()}
+    words = {i: set(t.split()) for i, t in rows}
+    ones = lambda x: (x & (1 << 64) - 1).bit_count()
+    for i, a in found.items():
+        assert a["n"] == len(words[i]) and (a["bits1"] == 0) == (a["n"] <= L._LARGE)
+        for j, b in found.items():
+            differ, every, half = len(words[i] ^ words[j]), a["bits0"] ^ b["bits0"], a["bits1"] ^ b["bits1"]
+            assert ones(every) <= differ
+            assert min(a["n"], b["n"]) <= L._LARGE or ones(half) + ones(every ^ half) <= differ
